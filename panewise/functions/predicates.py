@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from .sqlexpr import F
 from ..rules import words as W
 from .text import let, rx, strip
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
+
+from .sqlexpr import F
 
 # Noncharacters: permanently reserved code points that interchanged text never carries.
 OPEN, CLOSE, FIELD = "\ufdd0", "\ufdd1", "\ufdd2"
@@ -35,6 +36,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once.
+
+    A filter on a plain computed column is pushed below the projection and the expression runs
+    again there; the output of a generator is an attribute, so nothing is pushed through it.
+    """
+    for name in columns:
+        if name in df.columns:
+            df = df.drop(name)
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def exploded(df: DataFrame, keep: Sequence, array: Column, *names: str) -> DataFrame:
+    """Keep columns plus one row per array element, with position when two names are given.
+
+    An inner explode makes Spark test the array's size in a filter first, which evaluates the
+    array twice; the outer form does not, and the empty rows it adds are dropped here.
+    """
+    if len(names) == 2:
+        out = df.select(*keep, F.posexplode_outer(array).alias(*names))
+    else:
+        out = df.select(*keep, F.explode_outer(array).alias(*names))
+    return out.where(F.col(names[-1]).isNotNull())
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from .sqlexpr import F
 from ..rules import endpoints as R
 from .text import let, rx, strip
 
@@ -30,10 +30,12 @@ def path_of(url: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user info and port; empty when there is none."""
-    host_port = F.substring_index(authority_of(url), "@", -1)
-    return F.lower(
-        F.when(host_port.startswith("["), F.regexp_extract(host_port, r"^\[([^\]]*)\]", 1))
-        .otherwise(F.substring_index(host_port, ":", 1))
+    return let(
+        F.substring_index(authority_of(url), "@", -1),
+        lambda a: F.lower(
+            F.when(a.startswith("["), F.regexp_extract(a, r"^\[([^\]]*)\]", 1))
+            .otherwise(F.substring_index(a, ":", 1))
+        ),
     )
 
 
@@ -50,22 +52,27 @@ def registrable(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def _under(host: Column, root: Column) -> Column:
+    return (host == root) | F.endswith(host, F.concat(F.lit("."), root))
+
+
 def same_site(url: Column, base_url: Column) -> Column:
-    host, base = host_of(url), host_of(base_url)
-    root = registrable(base)
-    return (host != "") & (base != "") & (
-        (host == base) | (host == root) | F.endswith(host, F.concat(F.lit("."), root))
+    """Same host, or a host under the same registrable name."""
+    return let(
+        F.struct(host_of(url).alias("host"), host_of(base_url).alias("base")),
+        lambda h: (h["host"] != "") & (h["base"] != "")
+        & ((h["host"] == h["base"]) | _under(h["host"], registrable(h["base"]))),
     )
 
 
 def url_scope(url: Column, domain: Column) -> Column:
     """same-origin, subdomain or external, seen from ``domain``."""
-    host, base = host_of(url), F.lower(domain)
-    root = registrable(base)
-    return (
-        F.when((host == "") | (host == base), F.lit("same-origin"))
-        .when((host == root) | F.endswith(host, F.concat(F.lit("."), root)), F.lit("subdomain"))
-        .otherwise(F.lit("external"))
+    return let(
+        F.struct(host_of(url).alias("host"), F.lower(domain).alias("base")),
+        lambda h: F.when(
+            (h["host"] == "") | (h["host"] == h["base"]), F.lit("same-origin")
+        ).when(_under(h["host"], registrable(h["base"])), F.lit("subdomain"))
+        .otherwise(F.lit("external")),
     )
 
 
@@ -90,28 +97,41 @@ def remove_dots(path: Column) -> Column:
 
 def join_url(base: Column, ref: Column) -> Column:
     """RFC 3986 reference resolution for http bases."""
-    ref_path = path_of(ref)
-    rest = F.regexp_extract(ref, r"^[^?#]*((?:\?[^#]*)?(?:#[\s\S]*)?)$", 1)
-    base_path = path_of(base)
-    folder = F.when(base_path.contains("/"), F.regexp_extract(base_path, r"^([\s\S]*/)[^/]*$", 1)) \
-        .otherwise(F.lit("/"))
-    base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
-    origin = origin_of(base)
-    absolute_path = F.when(ref_path == "", F.lit("")).otherwise(rest)
-    return (
-        F.when(ref == "", base)
-        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(
-            scheme_of(ref).isin("http", "https") & (authority_of(ref) != ""),
-            F.concat(origin_of(ref), remove_dots(path_of(ref)), rest),
-        ).otherwise(ref))
-        .when(ref.startswith("//"), F.concat(
-            scheme_of(base), F.lit("://"), authority_of(ref), remove_dots(path_of(ref)), rest))
-        .when(ref_path.startswith("/"), F.concat(origin, remove_dots(ref_path), absolute_path))
-        .when(ref_path != "", F.concat(origin, remove_dots(F.concat(folder, ref_path)), rest))
-        .when(ref.startswith("?"), F.concat(origin, base_path, rest))
-        .otherwise(F.concat(origin, base_path, base_query, rest))
+    parts = F.struct(
+        ref.alias("ref"),
+        scheme_of(ref).alias("scheme"),
+        authority_of(ref).alias("authority"),
+        path_of(ref).alias("path"),
+        F.regexp_extract(ref, r"^[^?#]*((?:\?[^#]*)?(?:#[\s\S]*)?)$", 1).alias("rest"),
+        base.alias("base"),
+        origin_of(base).alias("origin"),
+        path_of(base).alias("base_path"),
     )
 
+    def joined(p: Column) -> Column:
+        folder = F.when(
+            p["base_path"].contains("/"), F.regexp_extract(p["base_path"], r"^([\s\S]*/)[^/]*$", 1)
+        ).otherwise("/")
+        base_query = F.regexp_extract(p["base"], r"^[^?#]*(\?[^#]*)?", 1)
+        http = p["scheme"].isin("http", "https") & (p["authority"] != "")
+        return (
+            F.when(p["ref"] == "", p["base"])
+            .when(http, F.concat(p["scheme"], F.lit("://"), p["authority"],
+                                 remove_dots(p["path"]), p["rest"]))
+            .when(p["scheme"] != "", p["ref"])
+            .when(p["ref"].startswith("//"), F.concat(
+                scheme_of(p["base"]), F.lit("://"), p["authority"], remove_dots(p["path"]),
+                p["rest"]))
+            .when(p["path"].startswith("/"),
+                  F.concat(p["origin"], remove_dots(p["path"]), p["rest"]))
+            .when(p["path"] != "", F.concat(
+                p["origin"], remove_dots(F.concat(folder, p["path"])), p["rest"]))
+            .when(p["ref"].startswith("?"), F.concat(p["origin"], p["base_path"], p["rest"]))
+            .otherwise(F.concat(p["origin"], p["base_path"], base_query, p["rest"]))
+        )
+
+    return let(parts, joined)
+
 
 def resolve_url(base: Column, value: Column) -> Column:
     """A link as an absolute http(s) URL, or null."""
@@ -131,9 +151,12 @@ def resolve_url(base: Column, value: Column) -> Column:
 
 def clean_url(url: Column) -> Column:
     """Cut at an interpolation, trim the tail; empty without two slashes."""
-    cut = F.rtrim(F.regexp_replace(url, rx(R.INTERPOLATED_TAIL), ""), F.lit("?&=/"))
-    slashes = F.length(cut) - F.length(F.replace(cut, F.lit("/"), F.lit("")))
-    return F.when(slashes >= 2, cut).otherwise(F.lit(""))
+    return let(
+        F.rtrim(F.regexp_replace(url, rx(R.INTERPOLATED_TAIL), ""), F.lit("?&=/")),
+        lambda u: F.when(
+            F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit(""))) >= 2, u
+        ).otherwise(F.lit("")),
+    )
 
 
 def has_static_extension(url: Column) -> Column:
@@ -142,28 +165,27 @@ def has_static_extension(url: Column) -> Column:
 
 
 def is_backend_host(host: Column) -> Column:
-    out = F.lit(True)
-    for hint in R.NON_BACKEND_HOSTS:
-        out = out & ~host.contains(hint)
-    return out
+    """No asset, analytics or social host: the hints match anywhere in the name."""
+    return ~host.rlike("|".join(h.replace(".", r"\.") for h in R.NON_BACKEND_HOSTS))
 
 
 def is_api_path(path: Column) -> Column:
-    return path.rlike(rx(R.API_PATH)) | path.rlike(rx(R.GENERIC_API_PATH))
+    return let(path, lambda p: p.rlike(rx(R.API_PATH)) | p.rlike(rx(R.GENERIC_API_PATH)))
 
 
 def endpoint_kind(url: Column) -> Column:
-    path = F.lower(path_of(url))
-    return (
-        F.when(path.contains("graphql") | path.endswith("/gql"), F.lit("graphql"))
-        .when(is_api_path(path), F.lit("api"))
-        .otherwise(F.lit("page"))
+    return let(
+        F.lower(path_of(url)),
+        lambda p: F.when(p.contains("graphql") | p.endswith("/gql"), F.lit("graphql"))
+        .when(is_api_path(p), F.lit("api"))
+        .otherwise(F.lit("page")),
     )
 
 
 def is_api_like(url: Column) -> Column:
-    path = path_of(url)
-    return is_backend_host(host_of(url)) & ~path.isin("", "/") & is_api_path(path)
+    return let(
+        path_of(url), lambda p: ~p.isin("", "/") & is_api_path(p)
+    ) & is_backend_host(host_of(url))
 
 
 def resolve_api_path(asset_url: Column, base_url: Column, path: Column) -> Column:

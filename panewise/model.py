@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from .functions.sqlexpr import F
 
 # Ordinals and labels of the result model.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")

@@ -9,10 +9,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import F
 from ..functions.predicates import is_mime_type, is_route_like
-from ..functions.text import rx, strip
+from ..functions.text import exploded, pinned, rx, strip
 from ..functions.urls import (
     clean_url, endpoint_kind, has_static_extension, host_of, is_api_like, is_api_path, join_url,
     resolve_api_path, url_scope,
@@ -27,13 +27,13 @@ COLUMNS = (
 _BASE = ("site", "base_url", "asset_seq")
 
 
-def _found(assets: DataFrame, pattern: str, group: int) -> DataFrame:
-    return assets.select(
-        *_BASE, F.col("url").alias("source"),
-        F.posexplode(
-            F.regexp_extract_all("content", F.lit(rx(pattern)), F.lit(group))
-        ).alias("pos", "found"),
-    ).withColumn("found", F.regexp_replace("found", rx(R.TRAILING_JUNK), ""))
+def _found(assets: DataFrame, pattern: str, group: int, prefix: str = "") -> DataFrame:
+    """Matches over whole texts without trailing punctuation: (.., source, pos, found)."""
+    found = F.transform(
+        F.regexp_extract_all("content", F.lit(rx(pattern)), F.lit(group)),
+        lambda u: F.concat(F.lit(prefix), F.regexp_replace(u, rx(R.TRAILING_JUNK), "")),
+    )
+    return exploded(assets, (*_BASE, F.col("url").alias("source")), found, "pos", "found")
 
 
 def _domain() -> Column:
@@ -65,17 +65,16 @@ def absolute_urls(assets: DataFrame) -> DataFrame:
 
 
 def protocol_relative_urls(assets: DataFrame) -> DataFrame:
-    rows = _found(assets.where(F.col("content").contains("//")), R.PROTOCOL_RELATIVE, 1)
-    return rows.select(
-        *_BASE, "source", "pos", F.concat(F.lit("https://"), F.col("found")).alias("url"),
-        F.lit(1).alias("phase"),
-    )
+    with_slashes = assets.where(F.col("content").contains("//"))
+    return _found(with_slashes, R.PROTOCOL_RELATIVE, 1, "https://").withColumnRenamed(
+        "found", "url"
+    ).withColumn("phase", F.lit(1))
 
 
 def recorded_urls(assets: DataFrame) -> DataFrame:
     """Cleaned URL mentions, with their order columns."""
     both = absolute_urls(assets).unionByName(protocol_relative_urls(assets))
-    return both.withColumn("url", clean_url(F.col("url"))).where(
+    return pinned(both.withColumnRenamed("url", "found"), url=clean_url(F.col("found"))).where(
         (F.col("url") != "") & (F.length("url") <= 500)
     )
 
@@ -99,9 +98,9 @@ def websockets(assets: DataFrame) -> DataFrame:
 
 def emails(assets: DataFrame) -> DataFrame:
     """Distinct addresses per site, all of them."""
-    found = assets.where(F.col("content").contains("@")).select(
-        "site",
-        F.explode(F.regexp_extract_all("content", F.lit(rx(R.EMAIL)), F.lit(0))).alias("email"),
+    found = exploded(
+        assets.where(F.col("content").contains("@")), ("site",),
+        F.regexp_extract_all("content", F.lit(rx(R.EMAIL)), F.lit(0)), "email",
     )
     ending = r"(?i)\.(?:" + "|".join(e[1:] for e in R.EMAIL_NOT) + r")\z"
     return found.where(~F.col("email").rlike(ending)).distinct()
@@ -147,11 +146,9 @@ def record_calls(calls: DataFrame) -> DataFrame:
         .when(raw.startswith("//"), F.concat(F.lit("https:"), raw))
         .when(raw.startswith("/"), resolve_api_path(F.col("source"), F.col("base_url"), raw))
     )
-    rows = (
-        calls.where((raw != "") & (F.length(raw) <= 400) & ~skip)
-        .withColumn("url", clean_url(absolute))
-        .where((F.col("url") != "") & ~has_static_extension(F.col("url")))
-    )
+    rows = pinned(
+        calls.where((raw != "") & (F.length(raw) <= 400) & ~skip), url=clean_url(absolute)
+    ).where((F.col("url") != "") & ~has_static_extension(F.col("url")))
     return _endpoint(
         rows, 3, 0, endpoint_kind=endpoint_kind(F.col("url"))
     )

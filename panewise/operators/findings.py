@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import F
 from ..functions.text import make_snippet
 from ..model import EVIDENCE, FINDING_COLUMNS
 from ..rules.vulns import Rule

@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import F
 from ..functions.predicates import is_vendor_bundle
 from ..functions.text import (
-    OPEN, column_of, contains_any, decode_escapes, let, line_of, make_snippet, marked, matches,
+    OPEN, column_of, contains_any, decode_escapes, exploded, let, line_of, make_snippet, marked, matches,
     rx,
 )
 from ..model import ASSET_KEYS
@@ -204,7 +204,7 @@ def hits(
     source = assets
     if vendor_skip and set(every_rule) <= set(vendor_skip):
         source = assets.where(~vendor)  # the whole text is skipped before any matching
-    out = source.select(*ASSET_KEYS, vendor.alias("vendor"), F.explode(all_hits).alias("h"))
+    out = exploded(source, (*ASSET_KEYS, vendor.alias("vendor")), all_hits, "h")
     if vendor_skip:
         out = out.where(~(F.col("vendor") & F.col("h.rule").isin(*vendor_skip)))
     return out.select(*ASSET_KEYS, *[F.col("h." + f).alias(f) for f in HIT_FIELDS])

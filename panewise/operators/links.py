@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.text import rx
+from ..functions.sqlexpr import F
+from ..functions.text import exploded, pinned, rx
 from ..functions.urls import join_url, resolve_url, same_site, without_fragment
 from ..rules import endpoints as R
 from ..session import checkpoint_dir
@@ -28,11 +28,9 @@ def _markup(content: Column) -> Column:
 
 def _tags(assets: DataFrame, name: str) -> DataFrame:
     pattern = rf"(?i)<{name}\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    return assets.where("kind = 'html'").select(
-        *_KEYS,
-        F.explode(
-            F.regexp_extract_all(_markup(F.col("content")), F.lit(pattern), F.lit(1))
-        ).alias("attrs"),
+    return exploded(
+        assets.where((F.col("kind") == "html") & F.lower("content").contains("<" + name)), _KEYS,
+        F.regexp_extract_all(_markup(F.col("content")), F.lit(pattern), F.lit(1)), "attrs",
     )
 
 
@@ -47,7 +45,7 @@ def attribute(attrs: Column, name: str) -> Column:
 
 def _links(rows: DataFrame, kind: str, target: Column) -> DataFrame:
     return (
-        rows.withColumn("dst_url", target)
+        pinned(rows, dst_url=target)
         .where(F.col("dst_url").isNotNull() & (F.col("dst_url") != ""))
         .select(
             "site", "base_url", "asset_seq", F.col("url").alias("src_url"), "dst_url",
@@ -57,7 +55,9 @@ def _links(rows: DataFrame, kind: str, target: Column) -> DataFrame:
 
 
 def extract_page_links(assets: DataFrame) -> DataFrame:
-    rows = _tags(assets, "a").withColumn("target", resolve_url(F.col("url"), attribute(F.col("attrs"), "href")))
+    rows = pinned(
+        _tags(assets, "a"), target=resolve_url(F.col("url"), attribute(F.col("attrs"), "href"))
+    )
     return _links(
         rows.where(same_site(F.col("target"), F.col("base_url"))), "page",
         without_fragment(F.col("target")),
@@ -71,8 +71,8 @@ def extract_script_links(assets: DataFrame) -> DataFrame:
         resolve_url(F.col("url"), attribute(F.col("attrs"), "src")),
     )
     attrs = F.col("attrs")
-    link_rows = _tags(assets, "link").withColumn(
-        "target", resolve_url(F.col("url"), attribute(attrs, "href"))
+    link_rows = pinned(
+        _tags(assets, "link"), target=resolve_url(F.col("url"), attribute(attrs, "href"))
     )
     is_script = (
         F.endswith(F.substring_index("target", "?", 1), F.lit(".js"))
@@ -80,17 +80,11 @@ def extract_script_links(assets: DataFrame) -> DataFrame:
         | F.lower(attribute(attrs, "rel")).contains("modulepreload")
     )
     linked = _links(link_rows.where(is_script), "script", F.col("target"))
-    quoted = (
-        assets.where(F.col("kind").isin("js", "json", "html"))
-        .select(
-            *_KEYS,
-            F.explode(
-                F.regexp_extract_all("content", F.lit(rx(R.INLINE_SCRIPT_URL)), F.lit(1))
-            ).alias("candidate"),
-        )
-        .where(F.col("candidate").rlike(r"^(?:http|/|\./|\.\./)"))
-        .withColumn("target", resolve_url(F.col("url"), F.col("candidate")))
-    )
+    candidates = exploded(
+        assets.where(F.col("kind").isin("js", "json", "html")), _KEYS,
+        F.regexp_extract_all("content", F.lit(rx(R.INLINE_SCRIPT_URL)), F.lit(1)), "candidate",
+    ).where(F.col("candidate").rlike(r"^(?:http|/|\./|\.\./)"))
+    quoted = pinned(candidates, target=resolve_url(F.col("url"), F.col("candidate")))
     inline = _links(
         quoted.where(same_site(F.col("target"), F.col("base_url"))), "script", F.col("target")
     )
@@ -98,27 +92,19 @@ def extract_script_links(assets: DataFrame) -> DataFrame:
 
 
 def extract_sourcemap_links(assets: DataFrame) -> DataFrame:
-    rows = (
-        assets.where(F.col("kind").isin("js", "css") & F.col("content").contains("sourceMappingURL"))
-        .select(
-            *_KEYS,
-            F.explode(
-                F.regexp_extract_all("content", F.lit(rx(R.SOURCEMAP_COMMENT)), F.lit(1))
-            ).alias("ref"),
-        )
-        .where(~F.col("ref").startswith("data:"))
-    )
+    rows = exploded(
+        assets.where(
+            F.col("kind").isin("js", "css") & F.col("content").contains("sourceMappingURL")
+        ),
+        _KEYS, F.regexp_extract_all("content", F.lit(rx(R.SOURCEMAP_COMMENT)), F.lit(1)), "ref",
+    ).where(~F.col("ref").startswith("data:"))
     return _links(rows, "sourcemap", resolve_url(F.col("url"), F.col("ref"))).distinct()
 
 
 def next_build_chunks(assets: DataFrame) -> DataFrame:
-    rows = assets.where(
-        F.col("url").contains("_buildManifest") | F.col("url").contains("webpack")
-    ).select(
-        *_KEYS,
-        F.explode(
-            F.regexp_extract_all("content", F.lit(rx(R.NEXT_CHUNK)), F.lit(1))
-        ).alias("path"),
+    rows = exploded(
+        assets.where(F.col("url").contains("_buildManifest") | F.col("url").contains("webpack")),
+        _KEYS, F.regexp_extract_all("content", F.lit(rx(R.NEXT_CHUNK)), F.lit(1)), "path",
     )
     return _links(rows, "chunk", join_url(F.col("base_url"), F.col("path"))).distinct()
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import F
 from ..functions.text import (
-    CLOSE, FIELD, WHITESPACE, decode_escapes, fields_of, gap_length, let, marked, matches,
+    CLOSE, FIELD, WHITESPACE, decode_escapes, exploded, fields_of, gap_length, let, marked, matches,
     pieces_of, prefix_sums,
 )
 
@@ -149,16 +149,16 @@ def literal_body(raw: Column) -> Column:
 
 def code_regions(assets: DataFrame) -> DataFrame:
     """One row per code region."""
-    return assets.select(
-        "site", "base_url", "asset_seq", "url", "kind",
-        F.posexplode(code_region_array(F.col("kind"), F.col("content"))).alias("region_idx", "r"),
+    return exploded(
+        assets, ("site", "base_url", "asset_seq", "url", "kind"),
+        code_region_array(F.col("kind"), F.col("content")), "region_idx", "r",
     ).select("site", "base_url", "asset_seq", "url", "kind", "region_idx", "r.*")
 
 
 def _tokens(regions: DataFrame) -> DataFrame:
-    return regions.select(
-        "site", "asset_seq", "url", "kind", "region_idx", "off",
-        F.explode(token_array(F.col("code"))).alias("t"),
+    return exploded(
+        regions, ("site", "asset_seq", "url", "kind", "region_idx", "off"),
+        token_array(F.col("code")), "t",
     ).select("site", "asset_seq", "url", "kind", "region_idx", "off", "t.*")
 
 

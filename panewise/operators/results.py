@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import F
 from ..functions.text import strip
 from ..functions.urls import host_of, is_backend_host, registrable
 from ..model import (

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import F
 from ..functions.predicates import (
     is_hash_like, is_human_text, is_jwt, is_placeholder, is_route_like, is_vendor_bundle,
     jwt_part, looks_random,
 )
-from ..functions.text import contains_any, rx
+from ..functions.text import contains_any, pinned, rx
 from ..model import SECRET, Options
 from ..rules import secrets as R
 from ..rules.access import JWT_AUTHZ_CLAIMS, PRIVILEGED_ROLES
@@ -66,12 +66,10 @@ def _candidates(hit_rows: DataFrame) -> DataFrame:
             text.alias("value"),
         ),
     )
-    return (
-        hit_rows.where(F.col("rule") == "secret")
-        .withColumn("name", name)
-        .withColumn("found", F.coalesce(provider, jwt, generic))
-        .where(F.col("found").isNotNull())
-    )
+    return pinned(
+        hit_rows.where(F.col("rule") == "secret"),
+        name=name, found=F.coalesce(provider, jwt, generic),
+    ).where(F.col("found").isNotNull())
 
 
 def secret_findings(hit_rows: DataFrame, options: Options = Options()) -> DataFrame:
@@ -79,8 +77,10 @@ def secret_findings(hit_rows: DataFrame, options: Options = Options()) -> DataFr
     found = F.col("found")
     kind = found["kind"]
     rows = (
-        _candidates(hit_rows)
-        .withColumn("claims_map", F.when(kind == "jwt", jwt_part(found["value"], 1)))
+        pinned(
+            _candidates(hit_rows),
+            claims_map=F.when(kind == "jwt", jwt_part(found["value"], 1)),
+        )
         .withColumn(
             "authz",
             F.array_sort(F.filter(F.map_keys("claims_map"), lambda c: c.isin(*JWT_AUTHZ_CLAIMS))),

@@ -10,8 +10,8 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import F
 from ..functions.text import redact
 from ..model import SECRET, SEVERITIES
 from ..operators import results as rs

@@ -11,7 +11,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..model import Options
@@ -28,6 +27,7 @@ from ..operators.findings import main_documents
 from ..operators.hits import hits
 from ..rules import endpoints as ep_rules
 from ..rules import vulns as vu_rules
+from ..session import work_folder, written
 from ..sources.assets import scan_responses
 
 #: Detectors in the order their findings read best.
@@ -56,20 +56,14 @@ class Scan:
     captures: DataFrame
     detectors: tuple[str, ...] = DETECTORS
     options: Options = field(default_factory=Options)
-    #: folder for intermediate tables; None keeps them in Spark's cache (tests, small runs)
+    #: folder for intermediate tables; None makes one below the shared checkpoint folder
     work_dir: str | None = None
 
     def _keep(self, name: str, table: DataFrame) -> DataFrame:
-        """Compute an intermediate table once for all its readers.
-
-        With a work folder it is a written table: lineage ends there and a lost executor
-        costs a re-read. Without one it is a cache that Spark rebuilds from its inputs.
-        """
+        """Compute an intermediate table once, as a written table, for all its readers."""
         if self.work_dir is None:
-            return table.persist(StorageLevel.MEMORY_AND_DISK)
-        path = f"{self.work_dir}/{name}"
-        table.write.mode("overwrite").parquet(path)
-        return table.sparkSession.read.parquet(path)
+            self.work_dir = work_folder(table.sparkSession, "scan")
+        return written(table, f"{self.work_dir}/{name}")
 
     @cached_property
     def admitted(self) -> DataFrame:

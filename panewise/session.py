@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "panewise") -> SparkSession:
@@ -29,3 +30,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panewise-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written intermediate tables, below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/panewise-{name}-{uuid.uuid4().hex}"
+
+
+def written(table: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back: its lineage ends there, and a lost executor costs a
+    re-read instead of a re-computation."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -14,8 +14,8 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions.sqlexpr import F
 from ..tables import local_table
 
 

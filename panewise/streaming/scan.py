@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.sqlexpr import F
 from ..functions.urls import without_fragment
 from ..operators import access as acc
 from ..operators import secrets as sc

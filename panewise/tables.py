@@ -15,7 +15,8 @@ def sql_literal(value) -> str:
         return "true" if value else "false"
     if isinstance(value, int):
         return str(value)
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\x00", "\\0")
+    return f"'{escaped}'"
 
 
 def local_table(spark: SparkSession, columns: Sequence[str], rows: Iterable[Sequence]) -> DataFrame:
