@@ -154,6 +154,8 @@ def text_of(value) -> str:
     """SQL text of a column or a Python value."""
     if isinstance(value, SqlColumn):
         return value.text
+    if isinstance(value, _Column):
+        raise TypeError(f"a column without SQL text cannot be part of this expression: {value}")
     if isinstance(value, float):
         return f"{value!r}D"
     return sql_literal(value) if value is not None else "NULL"

@@ -16,6 +16,7 @@ def sql_literal(value) -> str:
     if isinstance(value, int):
         return str(value)
     escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\x00", "\\0")
+    escaped = escaped.replace("${", "\\u0024{")  # or Spark takes it for a variable
     return f"'{escaped}'"
 
 
