@@ -113,7 +113,7 @@ def values(rows) -> str:
 
 def re2(pattern: str) -> str:
     """A pattern for RE2: no possessive repeats, and \\w for all letters and digits."""
-    out, in_class, i = [], False, 0
+    out, in_class, first, i = [], False, -1, 0
     while i < len(pattern):
         two = pattern[i:i + 2]
         if two == r"\w":
@@ -125,8 +125,8 @@ def re2(pattern: str) -> str:
             i += 2
             continue
         if pattern[i] == "[" and not in_class:
-            in_class = True
-        elif pattern[i] == "]" and in_class and pattern[i - 1] != "[":
+            in_class, first = True, i + 1
+        elif pattern[i] == "]" and in_class and i != first:
             in_class = False
         elif pattern[i] == "[" and in_class:
             out.append("\\")
@@ -213,6 +213,16 @@ ASSETS = "WITH " + corpus_sql()
 REGIONS = ASSETS + "," + _REGIONS
 TOKENS = REGIONS + "," + _TOKENS
 
+#: The same with what a scan reads: maps opened, their sources in their place.
+_SCANNED = """assets AS (
+  SELECT * FROM admitted WHERE kind <> 'map' UNION ALL
+  SELECT site, base_url, asset_seq, false, url || ' (original sources)', 200,
+    'application/javascript', '{}', array_to_string(sources, chr(10)), 'js'
+  FROM (SELECT *, CAST(json_extract(content, '$.sourcesContent') AS VARCHAR[]) AS sources
+        FROM admitted WHERE kind = 'map' AND json_valid(content)) WHERE len(sources) > 0)"""
+SCAN = ASSETS.replace("assets AS (SELECT * FROM admitted)", _SCANNED)
+SCAN_TOKENS = SCAN + "," + _REGIONS + "," + _TOKENS
+
 VENDOR = (
     "regexp_matches(url, "
     + rp(
@@ -288,7 +298,8 @@ def hits(source: str, rules, patterns: dict[str, str] | None = None) -> str:
         groups = "|".join(["\\0"] + [f"\\{g + 1}" for g in range(rule.groups)])
         parts.append(
             f"SELECT {s(rule.id)} AS rule, {_R}, start, start + length(f[1]) AS stop, "
-            f"f[1] AS text, f[2:] AS groups FROM "
+            f"f[1] AS text, f[2:] AS groups, "
+            f"substr(code, (start + length(f[1]) + 1)::BIGINT, 240) AS tail FROM "
             + positions(source, "code", pattern, groups, "length(f[1])", _R)
         )
     return "(" + " UNION ALL ".join(parts) + ")"
