@@ -66,18 +66,19 @@ def numbered(findings: DataFrame) -> DataFrame:
     by_site = Window.partitionBy("site").orderBy("pid")
     before = parts.select(
         "site", "pid", "first_mid",
-        F.coalesce(
-            F.sum("n").over(by_site.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("base"),
+        F.sum("n").over(by_site.rowsBetween(Window.unboundedPreceding, -1)).alias("base"),
         F.lag("last_category").over(by_site).alias("category_before"),
     )
     in_part = Window.partitionBy("site", "pid").orderBy("mid")
     return (
         ordered.join(before, ["site", "pid"])
-        .withColumn("index", F.col("base") + F.col("mid") - F.col("first_mid") + 1)
-        .withColumn("previous_category", F.coalesce(
-            F.lag("category").over(in_part), F.col("category_before")))
-        .drop("pid", "mid", "first_mid", "base", "category_before")
+        .withColumn("category_here", F.lag("category").over(in_part))
+        .withColumn(
+            "index",
+            F.coalesce(F.col("base"), F.lit(0)) + F.col("mid") - F.col("first_mid") + 1,
+        )
+        .withColumn("previous_category", F.coalesce("category_here", "category_before"))
+        .drop("pid", "mid", "first_mid", "base", "category_before", "category_here")
     )
 
 
