@@ -237,8 +237,8 @@ def decode_escapes(body: Column) -> Column:
                     ps,
                     lambda p, i: F.when(i == 0, p).otherwise(
                         F.concat(
-                            _code_point(fields_of(p)[0], fields_of(p)[1]),
-                            F.substr(p, F.length(F.substring_index(p, CLOSE, 1)) + 2),
+                            let(fields_of(p), lambda f: _code_point(f[0], f[1])),
+                            F.substring_index(p, CLOSE, -1),
                         )
                     ),
                 ),

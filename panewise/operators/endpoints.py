@@ -18,6 +18,7 @@ from ..functions.urls import (
     resolve_api_path, url_scope,
 )
 from ..rules import endpoints as R
+from .facts import fact
 from .hits import hits
 
 ORDER = ("asset_seq", "phase", "region_idx", "op", "pos")
@@ -27,12 +28,34 @@ COLUMNS = (
 _BASE = ("site", "base_url", "asset_seq")
 
 
-def _found(assets: DataFrame, pattern: str, group: int, prefix: str = "") -> DataFrame:
-    """Matches over whole texts without trailing punctuation: (.., source, pos, found)."""
+def _mentions(pattern: str, group: int, prefix: str, hint: str) -> Column:
+    """Matches over a whole text without trailing punctuation."""
+    content = F.col("content")
     found = F.transform(
-        F.regexp_extract_all("content", F.lit(rx(pattern)), F.lit(group)),
+        F.regexp_extract_all(content, F.lit(rx(pattern)), F.lit(group)),
         lambda u: F.concat(F.lit(prefix), F.regexp_replace(u, rx(R.TRAILING_JUNK), "")),
     )
+    return F.when(content.contains(hint), found)
+
+
+def url_matches() -> Column:
+    return _mentions(R.ABSOLUTE_URL, 0, "", "://")
+
+
+def relative_url_matches() -> Column:
+    return _mentions(R.PROTOCOL_RELATIVE, 1, "https://", "//")
+
+
+def socket_matches() -> Column:
+    return _mentions(R.WEBSOCKET, 0, "", "://")
+
+
+def email_matches() -> Column:
+    found = F.regexp_extract_all("content", F.lit(rx(R.EMAIL)), F.lit(0))
+    return F.when(F.col("content").contains("@"), F.array_distinct(found))
+
+
+def _found(assets: DataFrame, found: Column) -> DataFrame:
     return exploded(assets, (*_BASE, F.col("url").alias("source")), found, "pos", "found")
 
 
@@ -59,16 +82,13 @@ def _endpoint(rows: DataFrame, first_phase: int, first_op: int, **columns: Colum
 
 
 def absolute_urls(assets: DataFrame) -> DataFrame:
-    return _found(assets, R.ABSOLUTE_URL, 0).withColumnRenamed("found", "url").withColumn(
-        "phase", F.lit(0)
-    )
+    found = fact(assets, "f_urls", url_matches)
+    return _found(assets, found).withColumnRenamed("found", "url").withColumn("phase", F.lit(0))
 
 
 def protocol_relative_urls(assets: DataFrame) -> DataFrame:
-    with_slashes = assets.where(F.col("content").contains("//"))
-    return _found(with_slashes, R.PROTOCOL_RELATIVE, 1, "https://").withColumnRenamed(
-        "found", "url"
-    ).withColumn("phase", F.lit(1))
+    found = fact(assets, "f_relative_urls", relative_url_matches)
+    return _found(assets, found).withColumnRenamed("found", "url").withColumn("phase", F.lit(1))
 
 
 def recorded_urls(assets: DataFrame) -> DataFrame:
@@ -89,8 +109,9 @@ def url_endpoints(urls: DataFrame) -> DataFrame:
 
 
 def websockets(assets: DataFrame) -> DataFrame:
-    has_socket = F.lower("content").contains("ws://") | F.lower("content").contains("wss://")
-    rows = _found(assets.where(has_socket), R.WEBSOCKET, 0).withColumnRenamed("found", "url")
+    rows = _found(assets, fact(assets, "f_sockets", socket_matches)).withColumnRenamed(
+        "found", "url"
+    )
     return _endpoint(
         rows, 2, 0, method=F.lit("WS"), endpoint_kind=F.lit("websocket"), inferred=F.lit(False)
     )
@@ -98,10 +119,7 @@ def websockets(assets: DataFrame) -> DataFrame:
 
 def emails(assets: DataFrame) -> DataFrame:
     """Distinct addresses per site, all of them."""
-    found = exploded(
-        assets.where(F.col("content").contains("@")), ("site",),
-        F.regexp_extract_all("content", F.lit(rx(R.EMAIL)), F.lit(0)), "email",
-    )
+    found = exploded(assets, ("site",), fact(assets, "f_emails", email_matches), "email")
     ending = r"(?i)\.(?:" + "|".join(e[1:] for e in R.EMAIL_NOT) + r")\z"
     return found.where(~F.col("email").rlike(ending)).distinct()
 

@@ -11,6 +11,7 @@ from ..functions.text import make_snippet
 from ..model import EVIDENCE, FINDING_COLUMNS
 from ..rules.vulns import Rule
 from ..tables import local_table
+from .facts import fact
 
 DETECTOR_ORDER = {
     name: i
@@ -69,18 +70,19 @@ def to_findings(rows: DataFrame, detector: str, category: str, **columns: Column
     return rows.select(*out)
 
 
-def document_place(content: Column) -> dict[str, Column]:
+def opening() -> Column:
+    """The excerpt that places a finding about a whole response."""
+    return make_snippet(F.col("content"), F.lit(0), F.lit(0))
+
+
+def document_place(head: Column) -> dict[str, Column]:
     """Place of a finding about a whole response: line 1, and the text's opening."""
-    return {
-        "line": F.lit(1), "col": F.lit(1),
-        "snippet": make_snippet(content, F.lit(0), F.lit(0)),
-    }
+    return {"line": F.lit(1), "col": F.lit(1), "snippet": head}
 
 
 def main_documents(assets: DataFrame) -> DataFrame:
     """(site, asset_seq, url, snippet) of each site's own document, where site-wide findings
     are placed. ``is_main`` marks one capture per site."""
     return assets.where("is_main").select(
-        "site", "asset_seq", "url",
-        make_snippet(F.col("content"), F.lit(0), F.lit(0)).alias("snippet"),
+        "site", "asset_seq", "url", fact(assets, "f_head", opening).alias("snippet")
     )

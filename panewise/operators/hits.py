@@ -40,13 +40,20 @@ def _no_hits() -> Column:
     return F.slice(F.array(one), 1, 0)
 
 
+def _may_match(lowered: Column, rule: Rule) -> Column:
+    out = contains_any(lowered, rule.hints)
+    for needle in rule.needs:
+        out = out & lowered.contains(needle)
+    return out
+
+
 def rule_matches(code: Column, lowered: Column, rules: Sequence[Rule]) -> Column:
     """Raw hits of all rules in one text: the cheap hints decide which patterns run."""
     candidates = [
         F.struct(
             F.lit(rule.id).alias("rule"),
             F.when(
-                contains_any(lowered, rule.hints),
+                _may_match(lowered, rule),
                 marked(code, rx(rule.pattern), ["$0"] + [f"${g + 1}" for g in range(rule.groups)]),
             ).alias("marked"),
         )
@@ -120,18 +127,16 @@ def literal_matches(code: Column, gates: dict[str, LiteralGate]) -> Column:
     )
 
 
-def hits(
-    assets: DataFrame,
+def hit_array(
     raw_rules: Sequence[Rule] = (),
     stripped_rules: Sequence[Rule] = (),
     literal_gates: dict[str, LiteralGate] | None = None,
-    vendor_skip: Sequence[str] = (),
     locate: bool = True,
-) -> DataFrame:
-    """All hits of the given rules.
+) -> Column:
+    """All hits of the given rules in an asset's code.
 
     raw_rules run on code as written, stripped_rules on code without comments, literal_gates
-    on string literals. Rules named in ``vendor_skip`` do not report in library files.
+    on string literals.
     """
     tails = {r.id: r.tail for r in (*raw_rules, *stripped_rules) if r.tail}
 
@@ -191,7 +196,7 @@ def hits(
             place[0].alias("line"), place[1].alias("col"), place[2].alias("snippet"),
         )
 
-    all_hits = F.flatten(
+    return F.flatten(
         F.transform(
             code_region_array(F.col("kind"), content),
             lambda r, i: F.transform(
@@ -199,12 +204,29 @@ def hits(
             ),
         )
     )
-    every_rule = [r.id for r in (*raw_rules, *stripped_rules)] + list(literal_gates or {})
+
+
+def hit_rows(assets: DataFrame, found: Column, vendor_skip: Sequence[str] = ()) -> DataFrame:
+    """Hits as rows. Rules named in ``vendor_skip`` do not report in library files."""
     vendor = is_vendor_bundle(F.col("url"))
-    source = assets
-    if vendor_skip and set(every_rule) <= set(vendor_skip):
-        source = assets.where(~vendor)  # the whole text is skipped before any matching
-    out = exploded(source, (*ASSET_KEYS, vendor.alias("vendor")), all_hits, "h")
+    out = exploded(assets, (*ASSET_KEYS, vendor.alias("vendor")), found, "h")
     if vendor_skip:
         out = out.where(~(F.col("vendor") & F.col("h.rule").isin(*vendor_skip)))
     return out.select(*ASSET_KEYS, *[F.col("h." + f).alias(f) for f in HIT_FIELDS])
+
+
+def hits(
+    assets: DataFrame,
+    raw_rules: Sequence[Rule] = (),
+    stripped_rules: Sequence[Rule] = (),
+    literal_gates: dict[str, LiteralGate] | None = None,
+    vendor_skip: Sequence[str] = (),
+    locate: bool = True,
+) -> DataFrame:
+    """Hit rows straight from assets."""
+    every_rule = {r.id for r in (*raw_rules, *stripped_rules)} | set(literal_gates or {})
+    if vendor_skip and every_rule <= set(vendor_skip):
+        # The whole file is skipped before any matching.
+        assets = assets.where(~is_vendor_bundle(F.col("url")))
+    found = hit_array(raw_rules, stripped_rules, literal_gates, locate)
+    return hit_rows(assets, found, vendor_skip)

@@ -96,7 +96,7 @@ def strip_comments(code: Column) -> Column:
             lambda p, i: F.when(i == 0, p)
             .when(F.startswith(p, F.lit("/")), F.concat(
                 F.regexp_replace(fields_of(p)[0], r"[^\n]", " "),
-                F.substr(p, F.length(F.substring_index(p, CLOSE, 1)) + 2)))
+                F.substring_index(p, CLOSE, -1)))
             .otherwise(_written(p)),
         ),
         "",

@@ -11,6 +11,7 @@ from ..model import (
     CONFIDENCE_RANK, EXPOSURE, FINDING_ORDER, SEVERITIES, SEVERITY_RANK, confidence_label,
     confidence_weight, severity_label, severity_weight,
 )
+from .facts import fact
 from .findings import evidence_of, tags_of, to_findings
 
 #: extra places kept with a merged finding
@@ -211,7 +212,7 @@ def scan_stats(
     """Counters per site. Each input is reduced to one row per site before the joins."""
     requests = captures.groupBy("site").agg(F.count_distinct("url").alias("requests"))
     scanned = assets.groupBy("site").agg(
-        F.count("*").alias("assets_scanned"), F.sum(F.length("content")).alias("bytes_scanned")
+        F.count("*").alias("assets_scanned"), F.sum(fact(assets, "f_chars", lambda: F.length("content"))).alias("bytes_scanned")
     )
     out = requests.join(scanned, "site", "left")
     for name, table in (

@@ -1,8 +1,9 @@
 """The whole scan: captures in, site tables out.
 
-``Scan`` wires the operators together. The text is read in two narrow passes: one yields rule
-hits for every code-level detector, one the asset-level technology and URL rows. Everything
-after that works on small rows. Nothing runs until a table is asked for.
+``Scan`` wires the operators together. One narrow pass over the text yields the facts table;
+everything after that works on its small columns (only source maps and sensitive files are
+looked up in the captures again, without any matching). Nothing runs until a table is asked
+for.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 
+from ..functions.sqlexpr import F
 from ..model import Options
 from ..operators import access as acc
 from ..operators import endpoints as ep
@@ -23,9 +25,11 @@ from ..operators import results as rs
 from ..operators import secrets as sc
 from ..operators import technologies as tc
 from ..operators import vulnerabilities as vu
-from ..operators.findings import main_documents
-from ..operators.hits import hits
+from ..operators.facts import facts_table
+from ..operators.findings import main_documents, opening
+from ..operators.hits import hit_array, hit_rows
 from ..rules import endpoints as ep_rules
+from ..rules import technologies as tech_rules
 from ..rules import vulns as vu_rules
 from ..session import work_folder, written
 from ..sources.assets import scan_responses
@@ -77,56 +81,75 @@ class Scan:
         )
 
     @cached_property
-    def hits(self) -> DataFrame:
+    def facts(self) -> DataFrame:
+        """The one pass over the text: one row per asset, without the body."""
         on = set(self.detectors)
-        raw, stripped, gates, skip = [], [], {}, []
+        raw, stripped, gates = [], [], {}
+        builders = {"f_chars": lambda: F.length("content"), "f_head": opening}
         if "misc" in on:
             raw += vu_rules.MISC_RULES
-            skip += vu.MISC_VENDOR_SKIP
         if "endpoints" in on:
             raw += ep_rules.CALL_RULES
             gates.update(ep.LITERAL_GATES)
+            builders |= {
+                "f_urls": ep.url_matches, "f_relative_urls": ep.relative_url_matches,
+                "f_sockets": ep.socket_matches, "f_emails": ep.email_matches,
+            }
         if "sql" in on:
             stripped += vu_rules.ORM_RULES
             gates["sql"] = vu.sql_gate
-            skip += (*vu.ORM_IDS, "sql")
         if "xss" in on:
             stripped += vu_rules.XSS_RULES
-            skip += vu.XSS_IDS
         if "access" in on:
             stripped += acc.ACCESS_RULES
-            skip += acc.ACCESS_IDS
         if "secrets" in on:
             gates["secret"] = sc.secret_gate
-        return self._keep("hits", hits(self.assets, raw, stripped, gates, tuple(skip)))
+        if "technology" in on:
+            builders |= {
+                "f_tech": tc.content_matches, "f_banners": tc.banner_matches,
+                "f_payload": tc.next_payload, "f_services": tc.service_matches,
+                **{
+                    f"f_wp_{kind}": (lambda p=pattern: tc.extension_matches(p))
+                    for kind, pattern in tech_rules.WP_EXTENSIONS
+                },
+            }
+        if raw or stripped or gates:
+            builders["f_hits"] = lambda: hit_array(raw, stripped, gates)
+        return self._keep("facts", facts_table(self.assets, builders))
 
     @cached_property
-    def technology_mentions(self) -> DataFrame:
-        return self._keep("technology_mentions", tc.raw_technologies(self.assets))
+    def hits(self) -> DataFrame:
+        skip = (*vu.MISC_VENDOR_SKIP, *vu.ORM_IDS, *vu.XSS_IDS, *acc.ACCESS_IDS, "sql")
+        return hit_rows(self.facts, F.col("f_hits"), skip)
 
     @cached_property
     def technologies(self) -> DataFrame:
-        return tc.merge_technologies(self.technology_mentions)
+        return self._keep(
+            "technologies", tc.merge_technologies(tc.raw_technologies(self.facts))
+        )
 
     @cached_property
     def services(self) -> DataFrame:
-        return tc.services(self.assets)
+        return tc.services(self.facts)
 
     @cached_property
     def endpoint_mentions(self) -> DataFrame:
-        return self._keep("endpoint_mentions", ep.raw_endpoints(self.assets, self.hits))
+        return self._keep("endpoint_mentions", ep.raw_endpoints(self.facts, self.hits))
 
     @cached_property
     def endpoints(self) -> DataFrame:
-        return ep.collapse_inferred_endpoints(ep.dedupe_endpoints(self.endpoint_mentions))
+        return self._keep(
+            "endpoints",
+            ep.collapse_inferred_endpoints(ep.dedupe_endpoints(self.endpoint_mentions)),
+        )
 
     @cached_property
     def urls(self) -> DataFrame:
-        return ep.dedupe_urls(self.assets, self.endpoint_mentions)
+        return ep.dedupe_urls(self.facts, self.endpoint_mentions)
 
     @cached_property
     def emails(self) -> DataFrame:
-        return ep.emails(self.assets)
+        return ep.emails(self.facts)
 
     @cached_property
     def errors(self) -> DataFrame:
@@ -141,9 +164,9 @@ class Scan:
         """Findings before merging."""
         on, parts = set(self.detectors), []
         if "technology" in on:
-            mains = main_documents(self.assets)
+            mains = main_documents(self.facts)
             parts += [
-                tc.version_disclosures(self.assets), tc.next_data_findings(self.assets),
+                tc.version_disclosures(self.facts), tc.next_data_findings(self.facts),
                 tc.outdated_components(self.technologies, mains),
                 tc.wordpress_summary(self.technologies, mains),
             ]
@@ -163,7 +186,7 @@ class Scan:
         if "endpoints" in on:
             parts.append(rs.backend_summary(self.endpoints))
         if "headers" in on:
-            parts.append(hd.header_findings(self.assets))
+            parts.append(hd.header_findings(self.facts))
         parts += [ex.sourcemap_exposure(self.admitted), ex.exposed_paths(self.captures)]
         return self._keep("asset_findings", reduce(DataFrame.unionByName, parts))
 
@@ -188,7 +211,7 @@ class Scan:
     @cached_property
     def stats(self) -> DataFrame:
         return rs.scan_stats(
-            self.assets, self.captures, self.findings, self.endpoints, self.urls,
+            self.facts, self.captures, self.findings, self.endpoints, self.urls,
             self.technologies, self.services,
         )
 

@@ -24,7 +24,13 @@ class Corpus:
 
     @cached_property
     def captures(self) -> DataFrame:
-        return written(captures(self.spark, self.sf_dir), work_folder(self.spark, "captures"))
+        # Spread over all cores by key: matching is CPU-bound, and a site must not pin a task.
+        spread = max(
+            4 * self.spark.sparkContext.defaultParallelism,
+            int(self.spark.conf.get("spark.sql.shuffle.partitions")),
+        )
+        rows = captures(self.spark, self.sf_dir).repartition(spread, "site", "asset_seq")
+        return written(rows, work_folder(self.spark, "captures"))
 
     @cached_property
     def assets(self) -> DataFrame:

@@ -103,11 +103,9 @@ def _(c: Corpus):
 
 @query("decode_escapes")
 def _(c: Corpus):
-    bodies = c.table("documents").select(
-        "doc_id", F.explode(F.split("text", " ")).alias("word")).where(F.length("word") > 0)
-    escaped = F.regexp_replace(F.col("word"), "([aeiou])", r"\\\\x6f\\\\n$1\\\\u00e9")
-    return bodies.select("doc_id", "word", escaped.alias("written")).select(
-        "doc_id", "word", "written", tx.decode_escapes(F.col("written")).alias("decoded"))
+    escaped = F.regexp_replace("text", "([aeiou])", r"\\\\x6f\\\\n$1\\\\u00e9")
+    return c.table("documents").select("doc_id", escaped.alias("written")).select(
+        "doc_id", "written", tx.decode_escapes(F.col("written")).alias("decoded"))
 
 
 @query("comments", TOKENS + """

@@ -77,8 +77,8 @@ BUILD_MANIFESTS = ("_buildManifest.js", "_ssgManifest.js", "_middlewareManifest.
 CALL_RULES = (
     Rule("ep_call", "", FETCH_CALL, "INFO",
          ("fetch", "axios", "request", "http", "api", "client", "instance", "$.ajax",
-          "superagent", "ky", "got"), groups=2, tail=240),
+          "superagent", "ky", "got"), groups=2, tail=240, needs=("(",)),
     Rule("ep_mention", "", METHOD_URL, "INFO",
-         ("get", "post", "put", "patch", "delete", "head", "options"), groups=2),
-    Rule("ep_route", "", ROUTE_DECLARATION, "INFO", ("path",), groups=1),
+         ("get", "post", "put", "patch", "delete", "head", "options"), groups=2, needs=("/",)),
+    Rule("ep_route", "", ROUTE_DECLARATION, "INFO", ("path",), groups=1, needs=("/",)),
 )
