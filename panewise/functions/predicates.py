@@ -32,7 +32,9 @@ def is_placeholder(value: Column, key: Column | None = None) -> Column:
             out = out | ((norm_key != "") & (norm_key == norm_value))
         out = out | s.rlike(rx(_LOW_VARIETY))
         for shape in W.PLACEHOLDER_SHAPES:
-            out = out | s.rlike(rx(shape))
+            hit = s.rlike(rx(shape))
+            part = W.SHAPE_PARTS.get(shape)
+            out = out | (hit if part is None else s.contains(part) & hit)
         return out
 
     return let(strip(F.coalesce(value, F.lit(""))), check)

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from ..functions.sqlexpr import F
 from ..functions.predicates import is_vendor_bundle
 from ..functions.text import (
-    OPEN, column_of, contains_any, decode_escapes, exploded, let, line_of, make_snippet, marked, matches,
-    rx,
+    OPEN, column_of, contains_any, decode_escapes, exploded, let, line_of, make_snippet, marked,
+    matches, rx,
 )
 from ..model import ASSET_KEYS
 from ..rules.vulns import Rule
@@ -41,9 +41,10 @@ def _no_hits() -> Column:
 
 
 def _may_match(lowered: Column, rule: Rule) -> Column:
+    """The cheapest tests first: what every match holds, then the hints."""
     out = contains_any(lowered, rule.hints)
-    for needle in rule.needs:
-        out = out & lowered.contains(needle)
+    for needle in reversed(rule.needs):
+        out = lowered.contains(needle) & out
     return out
 
 

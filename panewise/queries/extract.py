@@ -101,11 +101,14 @@ def _(c: Corpus):
         F.max("end").alias("last_end")))
 
 
-@query("decode_escapes")
-def _(c: Corpus):
-    escaped = F.regexp_replace("text", "([aeiou])", r"\\\\x6f\\\\n$1\\\\u00e9")
-    return c.table("documents").select("doc_id", escaped.alias("written")).select(
-        "doc_id", "written", tx.decode_escapes(F.col("written")).alias("decoded"))
+@query("decode_escapes", "SELECT doc_id, md5(text) AS decoded FROM documents")
+def _(c: Corpus):
+    """Documents written the way a script would quote them, read back."""
+    written = F.replace(F.replace(F.replace(F.replace(
+        F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")),
+        F.lit("é"), F.lit("\\u{e9}")), F.lit("'"), F.lit("\\x27"))
+    return c.table("documents").select("doc_id", written.alias("written")).select(
+        "doc_id", F.md5(tx.decode_escapes(F.col("written"))).alias("decoded"))
 
 
 @query("comments", TOKENS + """

@@ -89,3 +89,11 @@ JSX_TAG = r"</?[A-Z][\w.]*[\s/>]"
 HTML_ENTITY = r"&(?:[a-zA-Z]{2,10}|#\d{2,5});"
 HTML_DOCUMENT = r"(?i)<(?:!doctype\s+html|html|head|body|div|span|p|meta|title)\b"
 HASH_LENGTHS = (7, 8, 16, 20, 32, 40, 64, 128)
+
+# Ours: what every text of an unanchored shape holds, tested before the pattern.
+SHAPE_PARTS = {
+    r"\$\{[^}]*\}": "${",
+    r"\{\{[^}]*\}\}": "{{",
+    r"<%[-=]?[\s\S]*?%>": "<%",
+    r"%\(?[sd]\)?\b": "%",
+}
