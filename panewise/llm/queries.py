@@ -44,3 +44,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), vocabulary(), folder, end_id=2)
     return token_files.read(spark, folder)
+
+
+@query
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parity_join import classes_and_components
+
+    return classes_and_components(table(spark, sf_dir, "documents"))
