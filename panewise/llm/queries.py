@@ -6,9 +6,10 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import work_folder
-from .common import importable, table
+from .common import by_id, importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,27 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parity_join import classes_and_components
 
     return classes_and_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cross_parsing import identified, sample
+
+    docs = by_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), 4)
+    found = identified(docs, sample(docs, F.col("fold") != 2))
+    return by_id(found, 4).select("doc_id", (F.col("fold") == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .novelty import dictionary, scanned
+
+    docs = table(spark, sf_dir, "documents")
+    return scanned(docs, dictionary(docs))
+
+
+@query
+def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .containment import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
