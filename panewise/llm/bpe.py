@@ -15,8 +15,8 @@ import numpy as np
 
 from . import chars
 
-#: Pretokens remembered in a worker before the memory starts anew.
-REMEMBERED = 1 << 21
+#: Pretokens remembered in a worker; when they are too many, those of several blocks stay.
+REMEMBERED = 1 << 19
 
 
 @cache
@@ -45,8 +45,23 @@ class Coder:
         self.keys = np.empty(0, np.uint64)
         self.begin = np.empty(0, np.int64)
         self.count = np.empty(0, np.int32)
+        self.used = np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
 
+    def shrink(self) -> None:
+        """Forget the pretokens of the fewest blocks, half of the room at least."""
+        least = 1
+        if len(self.used):
+            least = max(2, 1 + int(np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]))
+        stay = self.used >= least
+        if 2 * int(stay.sum()) > REMEMBERED:
+            self.forget()
+            return
+        begin, count = self.begin[stay], self.count[stay].astype(np.int64)
+        first = np.cumsum(count) - count
+        self.flat = self.flat[np.repeat(begin - first, count) + np.arange(int(count.sum()))]
+        self.keys, self.begin, self.count, self.used = self.keys[stay], first, self.count[stay], np.ones(int(stay.sum()), np.int32)
+
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Add pretokens, as byte-level strings, that are not yet known; keys are sorted."""
         encode = self.library.model.tokenize
@@ -58,6 +73,7 @@ class Coder:
         self.keys = np.insert(self.keys, spot, keys)
         self.begin = np.insert(self.begin, spot, begin)
         self.count = np.insert(self.count, spot, count)
+        self.used = np.insert(self.used, spot, np.zeros(len(keys), np.int32))
 
     def shown(self, cp: np.ndarray) -> tuple[str, np.ndarray]:
         """A block in the characters that stand for bytes, and the offset of each code point."""
@@ -75,16 +91,16 @@ class Coder:
         inside = cp[at] != chars.SENTINEL
         at, ends = at[inside], ends[inside]
         unique, sample, inverse = np.unique(chars.span_hashes(cp, at, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(unique) > REMEMBERED:
+            self.shrink()
         spot = np.searchsorted(self.keys, unique)
         known = self.keys[np.minimum(spot, len(self.keys) - 1)] == unique if len(self.keys) else np.zeros(len(unique), bool)
         if not known.all():
-            if len(self.keys) + int((~known).sum()) > REMEMBERED:
-                self.forget()
-                known[:] = False
             new = np.flatnonzero(~known)
             text, byte = self.shown(cp)
             self.learn(unique[new], [text[s:e] for s, e in zip(byte[at[sample[new]]].tolist(), byte[ends[sample[new]]].tolist(), strict=True)])
             spot = np.searchsorted(self.keys, unique)
+        self.used[spot] += 1
         count = self.count[spot][inverse]
         first = np.cumsum(count, dtype=np.int64) - count
         total = int(count.sum(dtype=np.int64))

@@ -15,7 +15,7 @@ import numpy as np
 
 #: One past the last code point.
 SENTINEL = 0x110000
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 #: Spans are hashed in stretches of about this many characters, which bounds the tables.
 STRETCH = 1 << 20
 
