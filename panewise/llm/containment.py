@@ -26,13 +26,17 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def with_windows(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the 64-bit hash of each window of five words, repeats included."""
-    words = rows.withColumn("_words", F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPACES), ""))
-    last = F.size("_words") - WIDTH
-    window: Column = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WIDTH)]))
-    whole = F.array(F.xxhash64("_words", F.lit(WIDTH)))
+    """Adds the 64-bit hash of each window of five words, repeats included. The words are bound to
+    a lambda variable, so they are cut once for a text and not once for a window."""
     none = F.array().cast("array<bigint>")
-    return words.withColumn(name, F.when(last >= 0, window).when(F.size("_words") > 0, whole).otherwise(none)).drop("_words")
+
+    def windows(words: Column) -> Column:
+        last = F.size(words) - WIDTH
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WIDTH)]))
+        return F.when(last >= 0, each).when(F.size(words) > 0, F.array(F.xxhash64(words, F.lit(WIDTH)))).otherwise(none)
+
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPACES), "")
+    return rows.withColumn(name, F.get(F.transform(F.array(words), windows), F.lit(0)))
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
