@@ -41,7 +41,7 @@ LEAST_WORDS = 64
 PART_ENTRIES = 1 << 19
 FLUSH = 1 << 21
 
-FACTS = "doc_id long, n long, sig long, chunk int, counts binary"
+FACTS = "doc_id long, text_hash long, n long, sig long, chunk int, counts binary"
 ENTRIES = "part int, keys binary, owners binary, lengths binary"
 FOUND = "key long, a long, b long, n long"
 
@@ -113,27 +113,29 @@ def entries_of(owner, value, n, rank) -> tuple[np.ndarray, np.ndarray]:
 def facts(docs: DataFrame) -> DataFrame:
     """Set size and signature of each document, and each task's shingle counters in chunks."""
 
+    names = [x.split()[0] for x in FACTS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             for low, high, cp, starts in chars.blocks(texts(batch)):
                 _, value, n, sig = sets_of(cp, starts)
                 np.add(counts, np.bincount((value >> np.uint64(44)).astype(np.int64), minlength=COUNTERS), out=counts, casting="unsafe")
                 none = pa.nulls(high - low, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [ids[low:high], pa.array(n, pa.int64()), pa.array(sig.view(np.int64)), none, pa.nulls(high - low, pa.binary())],
-                    names=["doc_id", "n", "sig", "chunk", "counts"],
+                    [ids[low:high], hashes[low:high], pa.array(n, pa.int64()), pa.array(sig.view(np.int64)), none, pa.nulls(high - low, pa.binary())],
+                    names=names,
                 )
         for k in range(0, COUNTERS, 64 * CHUNK):
             parts = [counts[c : c + CHUNK] for c in range(k, k + 64 * CHUNK, CHUNK)]
             none = pa.nulls(64, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(range(k // CHUNK, k // CHUNK + 64), pa.int32()), binary([p.tobytes() for p in parts])],
-                names=["doc_id", "n", "sig", "chunk", "counts"],
+                [none, none, none, none, pa.array(range(k // CHUNK, k // CHUNK + 64), pa.int32()), binary([p.tobytes() for p in parts])],
+                names=names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FACTS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, FACTS)
 
 
 def ranks(known: DataFrame) -> np.ndarray:
@@ -305,7 +307,7 @@ def bodies_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def classes_and_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of (doc_id, text).
+    """doc_id, n_shingles, component_id and text_hash of every row of (doc_id, text).
 
     Words are runs of characters other than white space, A-Z lower-cased; the set is the distinct
     runs of five words. Cases: a null text, or one without words, has size 0 and no links, its
@@ -355,5 +357,30 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     least = classes.join(joined, classes["sig"] == joined["node"]).groupBy("component").agg(F.min("doc_id").alias("least"))
     of_class = classes.join(joined, classes["sig"] == joined["node"], "left").join(least, "component", "left")
     of_class = of_class.select("sig", F.coalesce("least", classes["doc_id"]).alias("least"))
-    out = rows.select("doc_id", "n", "sig").join(of_class, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "text_hash", "n", "sig").join(of_class, "sig", "left")
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one of the least id, with its columns. Documents
+    without words stay. Of repeated rows of that id the least hash of the text stays, and of equal
+    rows one; a component of null ids only keeps the least hash of the text."""
+    rows = kept(classes_and_components(docs), "components")
+    worded = rows.where("n_shingles > 0").groupBy("component_id")
+    first = worded.agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
+    at = rows.where("n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = ["_id", "_hash"]
+    copies = at.groupBy(same).count()
+    copies = copies.join(first.withColumn("_stays", F.lit(True)), [copies[c].eqNullSafe(first[c]) for c in same], "left")
+    marked = copies.where("_stays is null or count > 1").select(copies["_id"], copies["_hash"], F.col("_stays").isNotNull().alias("_stays"))
+    marked = kept(marked, "marked")
+    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    on = hashed["doc_id"].eqNullSafe(marked["_id"]) & (hashed["_text"] == marked["_hash"])
+    clean = hashed.join(marked, on, "left_anti").select(docs.columns)
+    repeated = marked.where("_stays")
+    if repeated.isEmpty():
+        return clean
+    again = hashed.join(repeated, hashed["doc_id"].eqNullSafe(repeated["_id"]) & (hashed["_text"] == repeated["_hash"]), "left_semi")
+    return clean.union(again.dropDuplicates(["doc_id", "_text"]).select(docs.columns))

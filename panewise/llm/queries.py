@@ -51,7 +51,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parity_join import classes_and_components
 
-    return classes_and_components(table(spark, sf_dir, "documents"))
+    return classes_and_components(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query
@@ -76,3 +76,20 @@ def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .containment import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_templates import scanned
+
+    return scanned(table(spark, sf_dir, "documents")).drop("places")
+
+
+@query
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gam import fitted, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = by_id(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), 3).where("fold <> 1")
+    found = by_id(scored(docs, fitted(docs, labels)), 3)
+    return found.select("doc_id", (F.col("fold") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
