@@ -93,3 +93,13 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = by_id(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), 3).where("fold <> 1")
     found = by_id(scored(docs, fitted(docs, labels)), 3)
     return found.select("doc_id", (F.col("fold") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxic_segments import fitted, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = by_id(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), 3).where("fold <> 1")
+    found = by_id(scored(docs, fitted(docs, labels)), 3)
+    return found.select("doc_id", (F.col("fold") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
