@@ -103,3 +103,10 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = by_id(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), 3).where("fold <> 1")
     found = by_id(scored(docs, fitted(docs, labels)), 3)
     return found.select("doc_id", (F.col("fold") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
