@@ -74,5 +74,5 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that contain no item, with their columns."""
     bad = kept(contaminated(docs, items).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct(), "leaks")
-    same = docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_text"))
+    same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"])
     return docs.join(bad, same, "left_anti")

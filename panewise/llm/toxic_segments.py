@@ -38,7 +38,7 @@ ROWS = 15_000
 #: Mass of the prior, in documents; standard errors of a marked word; most marked words kept.
 PRIOR, MARKED, MOST = 20.0, 4.0, 20_000
 #: A marked token is in so many labelled toxic documents at least, and in this share of them.
-LEAST_DOCS, LEAST_SHARE = 5, 0.01
+LEAST_DOCS, LEAST_SHARE = 3, 0.01
 CAP, COST, SIGNIFICANT, LEAST_ODDS = 6.0, 0.05, 2.0, 3.0
 KARLIN = 0.1
 PREFIXES = (4, 5, 6)
