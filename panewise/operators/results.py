@@ -177,14 +177,13 @@ def backend_summary(endpoints: DataFrame) -> DataFrame:
         confidence=F.lit("CONFIRMED"), value=F.left("listing", F.lit(400)),
         url=F.col("base_url"), line=F.lit(0), col=F.lit(0), snippet=F.lit(""),
         detail=F.concat(
-            F.lit("The front-end calls "), F.col("hosts").cast("string"),
-            F.lit(" distinct backend host(s)"),
+            F.lit("The scanned pages call "), F.col("hosts").cast("string"),
+            F.lit(" backend host(s)"),
             F.when(F.col("external") > 0, F.concat(
                 F.lit("; "), F.col("external").cast("string"),
-                F.lit(" of them are third-party"))).otherwise(""),
-            F.lit(". Each one is part of the attack surface and should be tested "
-                  "independently.")),
-        remediation=F.lit("Review authentication and CORS policy on every host listed here."),
+                F.lit(" belong to others"))).otherwise(""),
+            F.lit(". A test of the site has to cover each of them.")),
+        remediation=F.lit("Look at login and origin rules of each host."),
         evidence=evidence_of(hosts=F.left("listing", F.lit(1000))),
         tags=tags_of("recon", "backend"),
     )

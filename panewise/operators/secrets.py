@@ -106,11 +106,11 @@ def secret_findings(hit_rows: DataFrame, options: Options = Options()) -> DataFr
         F.filter(
             F.array(
                 F.when(F.size(authz) > 0, F.concat(
-                    F.lit("Token carries authorization claims: "), F.array_join(authz, ", "),
-                    F.lit("."))).otherwise(F.lit("Token carries no authorization claims.")),
-                F.when(privileged, "The token holds a privileged role."),
-                F.when(expires >= now, "The token is still valid.")
-                .when(expires < now, "The token has expired."),
+                    F.lit("The token states rights: "), F.array_join(authz, ", "),
+                    F.lit("."))).otherwise(F.lit("The token states no rights.")),
+                F.when(privileged, "One of them is privileged."),
+                F.when(expires >= now, "It has not run out.")
+                .when(expires < now, "It has run out."),
             ),
             lambda s: s.isNotNull(),
         ),
@@ -126,7 +126,7 @@ def secret_findings(hit_rows: DataFrame, options: Options = Options()) -> DataFr
         detail=F.when(is_token, token_detail)
         .when(kind == "generic", R.GENERIC_DETAIL).otherwise(R.PROVIDER_DETAIL),
         remediation=F.when(
-            is_token, "Never ship tokens in the bundle; obtain them at runtime."
+            is_token, "Let each session fetch its own token."
         ).otherwise(R.REMEDIATION),
         evidence=F.when(is_token, evidence_of(
             claims=claims, authz_claims=F.array_join(authz, ", "),

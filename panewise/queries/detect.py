@@ -101,8 +101,7 @@ def _(c: Corpus):
     3, VULN, "title",
     "CASE WHEN taint = '' THEN severity WHEN severity = 'LOW' THEN 'MEDIUM' ELSE 'HIGH' END",
     "CASE WHEN taint = '' THEN 'TENTATIVE' ELSE 'FIRM' END", "left(text, 100)",
-    "CASE WHEN taint = '' THEN 'An unsafe DOM sink is used.' ELSE 'An unsafe DOM sink is fed from "
-    "a source the user controls (`' || taint || '`), which is the standard DOM-XSS shape.' END",
+    "CASE WHEN taint = '' THEN 'Markup or code is made from a value at run time.' ELSE 'Markup or code is made from what the visitor sends (`' || taint || '`).' END",
     _spot()))
 def _(c: Corpus):
     return show(vu.xss_sinks(c.scan.assets))
@@ -212,11 +211,11 @@ _ROLES = _finding(
     "WHEN rule = 'acc_catalogue' THEN 'Role/permission catalogue exposed (`' || groups[1] || '`)' ELSE title END",
     f"CASE WHEN rule <> 'acc_permission' AND {_IS_PRIV} THEN 'MEDIUM' ELSE 'LOW' END", "'FIRM'",
     "CASE WHEN rule = 'acc_catalogue' THEN array_to_string(items[:12], ', ') ELSE single END",
-    f"CASE WHEN rule IN ('acc_role', 'acc_constant') THEN 'The bundle references the role `' || single || '`' "
-    f"|| CASE WHEN {_IS_PRIV} THEN ' which grants elevated privileges' ELSE '' END || '.' "
-    f"WHEN rule = 'acc_catalogue' THEN 'The client bundle enumerates ' || len(items) || ' value(s) for `' "
-    f"|| groups[1] || '`' || CASE WHEN {_IS_PRIV} THEN ', including privileged entries (' "
-    f"|| array_to_string({_PRIV_ITEMS}, ', ') || ')' ELSE '' END || '. This is the application''s privilege vocabulary.' "
+    f"CASE WHEN rule IN ('acc_role', 'acc_constant') THEN 'Delivered code names the role `' || single || '`' "
+    f"|| CASE WHEN {_IS_PRIV} THEN ', a privileged one' ELSE '' END || '.' "
+    f"WHEN rule = 'acc_catalogue' THEN 'Delivered code lists ' || len(items) || ' entries of `' "
+    f"|| groups[1] || '`' || CASE WHEN {_IS_PRIV} THEN ', some of them privileged (' "
+    f"|| array_to_string({_PRIV_ITEMS}, ', ') || ')' ELSE '' END || '. They show how the application divides rights.' "
     f"ELSE detail END",
     _spot("(off + fstart)", "(off + fstop)"))
 
@@ -325,11 +324,11 @@ _SECRETS = _finding(
     f"{s(sr.GENERIC_TITLE)} ELSE ptitle END",
     f"CASE WHEN rule_ord = {len(sr.PROVIDERS)} AND {_JWT_PRIV} THEN 'CRITICAL' ELSE coalesce(psev, 'HIGH') END",
     f"CASE WHEN rule_ord = {len(sr.PROVIDERS) + 1} THEN 'FIRM' ELSE 'CONFIRMED' END", "val",
-    f"CASE rule_ord WHEN {len(sr.PROVIDERS)} THEN CASE WHEN len(authz) > 0 THEN 'Token carries authorization claims: ' "
-    f"|| array_to_string(authz, ', ') || '.' ELSE 'Token carries no authorization claims.' END "
-    f"|| CASE WHEN {_JWT_PRIV} THEN ' The token holds a privileged role.' ELSE '' END "
+    f"CASE rule_ord WHEN {len(sr.PROVIDERS)} THEN CASE WHEN len(authz) > 0 THEN 'The token states rights: ' "
+    f"|| array_to_string(authz, ', ') || '.' ELSE 'The token states no rights.' END "
+    f"|| CASE WHEN {_JWT_PRIV} THEN ' One of them is privileged.' ELSE '' END "
     f"|| CASE WHEN json_exists(payload, '$.exp') THEN CASE WHEN CAST(json_extract_string(payload, '$.exp') AS DOUBLE) "
-    f">= epoch(now()) THEN ' The token is still valid.' ELSE ' The token has expired.' END ELSE '' END "
+    f">= epoch(now()) THEN ' It has not run out.' ELSE ' It has run out.' END ELSE '' END "
     f"WHEN {len(sr.PROVIDERS) + 1} THEN {s(sr.GENERIC_DETAIL)} ELSE {s(sr.PROVIDER_DETAIL)} END", _spot())
 FINDING_SQL["secrets"] = _SECRETS
 
@@ -563,8 +562,7 @@ _DOC = ("1::BIGINT AS line, 1::BIGINT AS col, " + snippet("content", "0", "0") +
 @finding_query("version_disclosures", _finding(
     f"(SELECT * FROM {_PARTS} WHERE pversion <> '')", 0, EXPO, "'Server software version disclosed'", "'LOW'",
     "'CONFIRMED'", "header || ': ' || part",
-    "'The `' || header || '` response header reveals the exact software version, which lets an attacker look up "
-    "matching CVEs directly.'", _DOC, region="0", pos="part_idx"))
+    "'The `' || header || '` header tells the exact version, and with it the published weaknesses.'", _DOC, region="0", pos="part_idx"))
 def _(c: Corpus):
     return show(tc.version_disclosures(c.scan.assets))
 
@@ -598,13 +596,13 @@ _NEXT_FINDINGS = _finding(
         AND CAST(json_extract(j, '$.runtimeConfig.serverRuntimeConfig') AS VARCHAR) NOT IN ('{{}}', '[]', 'null', '""', '0', 'false'))""",
     0, EXPO, "'Next.js serverRuntimeConfig exposed to the browser'", "'HIGH'", "'CONFIRMED'",
     "left(CAST(json_extract(j, '$.runtimeConfig.serverRuntimeConfig') AS VARCHAR), 200)",
-    "'Server-only runtime configuration is present in __NEXT_DATA__.'", _NEXT_SPOT, rule_ord="100", region="0", pos="0",
+    "'The page''s data holds settings that only the server should see.'", _NEXT_SPOT, rule_ord="100", region="0", pos="0",
 ) + " UNION ALL " + _finding(
     f"""(SELECT n.*, k.listing, k.total FROM {_NEXT_ROWS} n JOIN (SELECT site, asset_seq,
         array_to_string(list_sort(list(key))[:20], ', ') AS listing, count(*) AS total FROM env_keys GROUP BY 1, 2) k
         USING (site, asset_seq))""",
     0, EXPO, "'Environment variables embedded in __NEXT_DATA__'", "'MEDIUM'", "'CONFIRMED'", "listing",
-    "total || ' environment variable name(s) are serialised into the page payload. Anything named here is readable by any visitor.'",
+    "total || ' environment variable(s) are part of the page''s data, for every visitor to read.'",
     _NEXT_SPOT, rule_ord="101", region="0", pos="0")
 FINDING_SQL["next_data"] = _NEXT_FINDINGS
 
@@ -668,8 +666,8 @@ def _(c: Corpus):
             FROM ({MERGED_SQL}) WHERE category IN ('wordpress-plugin', 'wordpress-theme')) GROUP BY 1, 2) w
       JOIN {_MAINS} m USING (site))""",
     8, EXPO, "'WordPress ' || k || 's enumerated'", "CASE WHEN v > 0 THEN 'MEDIUM' ELSE 'LOW' END", "'CONFIRMED'", "listing",
-    "n || ' ' || k || '(s) are identifiable from asset paths' || CASE WHEN v > 0 THEN ', ' || v || ' of them with an exact "
-    "version' ELSE '' END || '. Outdated extensions are the usual way a WordPress site gets compromised.'", _AT,
+    "n || ' ' || k || '(s) show in the addresses of files' || CASE WHEN v > 0 THEN ', ' || v || ' with their "
+    "version' ELSE '' END || '. Old extensions are a common way into such sites.'", _AT,
     rule_ord="CASE WHEN k = 'plugin' THEN 50 ELSE 51 END", region="0", pos="0"), SCAN)
 def _(c: Corpus):
     return show(tc.wordpress_summary(c.scan.technologies, main_documents(c.scan.assets)))
@@ -713,18 +711,17 @@ def _(c: Corpus):
 
 
 _PROBLEMS = (
-    "list_filter([CASE WHEN contains(csp, '''unsafe-inline''') THEN '`''unsafe-inline''` allows inline scripts, defeating "
-    "most of the XSS protection' END, CASE WHEN contains(csp, '''unsafe-eval''') THEN '`''unsafe-eval''` permits eval()' END, "
-    "CASE WHEN regexp_matches(csp, '(?:script-src|default-src)[^;]*[*](?:[^.]|$)') THEN 'a wildcard source is allowed for "
-    "scripts' END, CASE WHEN contains(csp, 'data:') AND contains(csp, 'script-src') THEN '`data:` URIs are allowed as a "
-    "script source' END], lambda p: p IS NOT NULL)"
+    "list_filter([CASE WHEN contains(csp, '''unsafe-inline''') THEN '`''unsafe-inline''` lets injected inline scripts run' END, CASE WHEN contains(csp, '''unsafe-eval''') THEN '`''unsafe-eval''` lets text run as code' END, "
+    "CASE WHEN regexp_matches(csp, '(?:script-src|default-src)[^;]*[*](?:[^.]|$)') THEN 'scripts may come from a wildcard "
+    "source' END, CASE WHEN contains(csp, 'data:') AND contains(csp, 'script-src') THEN 'scripts may come from `data:` "
+    "addresses' END], lambda p: p IS NOT NULL)"
 )
 
 
 @finding_query("csp_quality", _finding(
     f"(SELECT *, {_PROBLEMS} AS problems FROM {_DOCS} WHERE len({_PROBLEMS}) > 0)", 7, HEAD,
     "'Weak Content-Security-Policy'", "'MEDIUM'", "'CONFIRMED'", "left(csp, 300)",
-    "'The CSP is present but permissive: ' || array_to_string(problems, '; ') || '.'", _DOC, rule_ord="10", region="0",
+    "'The policy leaves gaps: ' || array_to_string(problems, '; ') || '.'", _DOC, rule_ord="10", region="0",
     pos="0"), SCAN)
 def _(c: Corpus):
     return show(hd.csp_quality(c.scan.assets))
@@ -735,8 +732,8 @@ def _(c: Corpus):
     "CASE WHEN acac = 'true' THEN 'Dangerous CORS configuration' ELSE 'Wildcard CORS origin' END",
     "CASE WHEN acac = 'true' THEN 'HIGH' ELSE 'LOW' END", "'CONFIRMED'",
     "CASE WHEN acac = 'true' THEN acao || ' / credentials: ' || acac ELSE left(acao, 120) END",
-    "CASE WHEN acac = 'true' THEN 'The server sends a wildcard origin together with `Access-Control-Allow-Credentials: true`.' "
-    "ELSE 'Any origin may read responses from this endpoint.' END", _DOC, rule_ord="20", region="0", pos="0"), SCAN)
+    "CASE WHEN acac = 'true' THEN 'Every origin is allowed, and credentials with it.' "
+    "ELSE 'Scripts of every site can read this answer.' END", _DOC, rule_ord="20", region="0", pos="0"), SCAN)
 def _(c: Corpus):
     return show(hd.cors_headers(c.scan.assets))
 
@@ -755,9 +752,9 @@ _COOKIES = f"""(SELECT *, list_filter([CASE WHEN NOT contains(lower(cookie), 'ht
     "'Cookie `' || cname || '` missing ' || array_to_string(missing, '/')",
     "CASE WHEN regexp_matches(cname, '(?i)sess|auth|token|jwt|login|remember|sid') THEN 'MEDIUM' ELSE 'LOW' END",
     "'CONFIRMED'", "left(cookie, 120)",
-    "'The cookie is set without ' || array_to_string(missing, ', ') || '.' || CASE WHEN "
+    "'Attributes that this cookie lacks: ' || array_to_string(missing, ', ') || '.' || CASE WHEN "
     "regexp_matches(cname, '(?i)sess|auth|token|jwt|login|remember|sid') AND list_contains(missing, 'HttpOnly') THEN "
-    "' It looks like a session cookie, so JavaScript can steal it via XSS.' ELSE '' END", _DOC, rule_ord="30 + ci",
+    "' By its name it carries a session, which scripts can read.' ELSE '' END", _DOC, rule_ord="30 + ci",
     region="0", pos="0"), SCAN)
 def _(c: Corpus):
     return show(hd.cookie_flags(c.scan.assets))
@@ -773,9 +770,7 @@ _MAPS = """(SELECT *, len(CAST(json_extract(content, '$.sources') AS VARCHAR[]))
 
 @finding_query("sourcemap_exposure", _finding(
     _MAPS, 8, EXPO, "'Source map published'", "CASE WHEN embedded > 0 THEN 'MEDIUM' ELSE 'LOW' END", "'CONFIRMED'", "url",
-    "CASE WHEN embedded > 0 THEN 'The source map is publicly readable and embeds the original source of ' || n || ' file(s). "
-    "The unminified code, including comments and internal paths, is available to anyone.' ELSE 'The source map is publicly "
-    "readable and reveals ' || n || ' original file path(s).' END", _NO_SPOT, rule_ord="200", region="0", pos="0"), SCAN)
+    "CASE WHEN embedded > 0 THEN 'Anyone can fetch this source map; it holds the text of ' || n || ' original file(s), with their comments and paths.' ELSE 'Anyone can fetch this source map; it names ' || n || ' original file(s).' END", _NO_SPOT, rule_ord="200", region="0", pos="0"), SCAN)
 def _(c: Corpus):
     return show(ex.sourcemap_exposure(c.assets))
 
@@ -799,7 +794,7 @@ _REAL = f"""(content = '' OR NOT (
     f"""(SELECT c.*, sp.* FROM (SELECT *, {path("url")} AS p FROM captures WHERE status = 200) c
       JOIN (VALUES {values((p, i, t, v) for i, (p, t, v) in enumerate(tr.SENSITIVE_PATHS))}) AS sp(spath, ord, stitle, sev)
       ON c.p = sp.spath WHERE {host("url")} = {host("base_url")} AND {_REAL})""",
-    8, EXPO, "stitle", "sev", "'CONFIRMED'", "url", "'`' || p || '` is publicly reachable (HTTP 200).'",
+    8, EXPO, "stitle", "sev", "'CONFIRMED'", "url", "'`' || p || '` answers with status 200 to anyone.'",
     "0::BIGINT AS line, 0::BIGINT AS col, trim(left(content, 160)) AS snippet", rule_ord="ord + 300", region="0", pos="0"), SCAN)
 def _(c: Corpus):
     return show(ex.exposed_paths(c.captures))

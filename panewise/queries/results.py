@@ -60,8 +60,8 @@ _BACKENDS = f"""(SELECT t.*, l.listing FROM (SELECT site, base_url, count(*) AS
     FROM ranked_hosts WHERE rank <= 15 GROUP BY site) l USING (site))"""
 FINDING_SQL["backend_summary"] = _finding(
     _BACKENDS, 6, EXPO, "'Backend hosts discovered'", "'INFO'", "'CONFIRMED'", "left(listing, 400)",
-    "'The front-end calls ' || hosts || ' distinct backend host(s)' || CASE WHEN external > 0 THEN '; ' || external || "
-    "' of them are third-party' ELSE '' END || '. Each one is part of the attack surface and should be tested independently.'",
+    "'The scanned pages call ' || hosts || ' backend host(s)' || CASE WHEN external > 0 THEN '; ' || external || "
+    "' belong to others' ELSE '' END || '. A test of the site has to cover each of them.'",
     _NO_PLACE, rule_ord="400", region="0", pos="0", url="base_url", seq="0")
 
 EP = _RSCAN + ", " + _ENDPOINTS

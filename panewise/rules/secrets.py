@@ -50,7 +50,10 @@ SECRET_KEY = (
 GENERIC_TITLE = "Hardcoded credential"
 
 REMEDIATION = (
-    "Revoke the value, move it to server-side configuration and keep it out of the bundle."
+    "Replace the credential at its issuer, then read the new one from the server's settings."
 )
-PROVIDER_DETAIL = "A live-looking provider credential is present in client-side code."
-GENERIC_DETAIL = "A high-entropy value is assigned to a key that names a secret."
+PROVIDER_DETAIL = (
+    "A string in delivered code has the form of a credential that this provider "
+    "issues."
+)
+GENERIC_DETAIL = "A name that speaks of a secret is given a value that looks random."
