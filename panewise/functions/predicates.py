@@ -12,7 +12,7 @@ _LETTER = r"\p{L}"
 #: a unit of 1 to 4 characters, four times or more
 _LOW_VARIETY = r"^(.{1,4}?)\1{3,}$"
 _SENTENCE = _LETTER + r"{2,}\s+" + _LETTER + r"{2,}\s+" + _LETTER + r"{2,}"
-_WORDY = r"^" + _LETTER + r"+(?:[\s_\-]" + _LETTER + r"+)*$"
+_WORDY = r"^" + _LETTER + r"+(?:[\s_\-]" + _LETTER + r"+)*+$"
 _WORD_RUN = _LETTER + r"{2,}(?:[\s'’]" + _LETTER + r"{2,}){2,}"
 
 

@@ -118,7 +118,8 @@ def values(rows) -> str:
 
 
 def re2(pattern: str) -> str:
-    """A pattern for RE2: no possessive repeats, and \\w for all letters and digits."""
+    """A pattern for RE2: no possessive repeats or limits on groups, and \\w for all letters and digits."""
+    pattern = pattern.replace("){1,127}", ")+").replace("){0,127}", ")*")
     out, in_class, first, i = [], False, -1, 0
     while i < len(pattern):
         two = pattern[i:i + 2]

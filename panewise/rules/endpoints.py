@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .vulns import Rule
 
-_HOST = r"(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}"
+# The engine recurses on a repeated group of varying length, so a long hostile text could end the
+# JVM. Such groups are possessive where nothing can be given back; host names have 127 labels at
+# most and the local part of an address 64 characters, as their standards say.
+_HOST = r"(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.){1,127}[a-z]{2,24}"
 
 ABSOLUTE_URL = r"(?i)\bhttps?://" + _HOST + r"(?::\d{2,5})?(?:/[^\s\"'`<>\\)\]}]*)?"
 PROTOCOL_RELATIVE = r"(?i)(?<![:\w])//(" + _HOST + r"(?:/[^\s\"'`<>]*)?)"
@@ -15,13 +18,13 @@ INTERPOLATED_TAIL = r"\$\{[\s\S]*$"
 API_PATH = (
     r"(?i)^/(?:api|apis|rest|graphql|gql|v[0-9]{1,2}|rpc|oauth2?|auth|admin|internal"
     r"|webhook|webhooks|_next/data|wp-json|services?|backend|gateway|query)"
-    r"(?:/[\w\-.~%:@]+|/\$\{[^}]{1,60}\}|/:[\w]+|/\*)*/?$"
+    r"(?:/[\w\-.~%:@]+|/\$\{[^}]{1,60}\}|/:[\w]+|/\*)*+/?$"
 )
 GENERIC_API_PATH = (
     r"(?i)^/[\w\-./]{2,120}/(?:list|create|update|delete|search|login|logout|register|signup"
     r"|signin|token|refresh|profile|me|upload|download|export|import|status|health"
     r"|checkout|payment|order|orders|users?|customers?|products?|items?)"
-    r"(?:/[\w\-.:${}]*)*/?$"
+    r"(?:/[\w\-.:${}]*)*+/?$"
 )
 FETCH_CALL = (
     r"(?i)\b(?:fetch|axios|request|http|api|client|instance|\$\.ajax|superagent|ky|got)"
@@ -36,7 +39,7 @@ METHOD_URL = (
     r"(https?://[^\s\"'`<>]{4,}|/[\w\-./]{2,120})"
 )
 ROUTE_DECLARATION = r"(?i)\bpath\s*:\s*[\"'](/[^\"']{0,160})[\"']"
-EMAIL = r"\b[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,24}\b"
+EMAIL = r"\b[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,127}[A-Za-z]{2,24}\b"
 EMAIL_NOT = (".png", ".jpg", ".gif", ".js", ".css")
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b"
 

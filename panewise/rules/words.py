@@ -44,7 +44,7 @@ PLACEHOLDER_SHAPES = (
     r"(?i)^(?:redacted|removed|hidden|masked|obfuscated|sanitized)$",
     r"^#[0-9a-fA-F]{3,8}$",
     r"(?i)^(?:rgba?|hsla?|calc|var|url|translate|matrix)\(",
-    r"(?i)^\d+(?:\.\d+)*(?:px|em|rem|vh|vw|%|s|ms|deg)?$",
+    r"(?i)^\d+(?:\.\d+)*+(?:px|em|rem|vh|vw|%|s|ms|deg)?$",
     r"^[/.]{0,2}/[\w\-./]*$",
     r"(?i)^data:[a-z]+/",
 )
@@ -80,7 +80,7 @@ VENDOR_URL = (
     r"|popper|modernizr|tailwind|fontawesome)[.\-@]?[\d.]*(?:\.min)?\.js"
 )
 
-ROUTE_LIKE = r"^[a-z][a-z0-9_.\-]*(?:/(?:[a-z0-9_.\-]+|\{[^}]{1,40}\}|:[a-z]\w*))+/?$"
+ROUTE_LIKE = r"^[a-z][a-z0-9_.\-]*(?:/(?:[a-z0-9_.\-]+|\{[^}]{1,40}\}|:[a-z]\w*))++/?$"
 MIME_LIKE = (
     r"^(?:application|audio|font|image|message|model|multipart|text|video)/[\w.+\-]+$"
 )

@@ -101,7 +101,7 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 # Host name shape of a scan target.
 _HOSTNAME = (
     r"^(?=.{1,253}$)(?!-)[A-Za-z0-9-_]{1,63}(?<!-)"
-    r"(?:\.(?!-)[A-Za-z0-9-_]{1,63}(?<!-))*\.?$"
+    r"(?:\.(?!-)[A-Za-z0-9-_]{1,63}(?<!-))*+\.?$"
 )
 _IPV6 = r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$"
 
