@@ -194,6 +194,73 @@ def make_snippet(content: Column, start: Column, end: Column, width: int = 110)
     )
 
 
+#: Characters of one part of a text; reading at an offset costs about this much, wherever it is.
+PART = 4096
+
+
+def text_parts(text: Column) -> Column:
+    """A text cut into parts of PART characters once, so that reading at many offsets does not
+    start from its beginning each time."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1," + str(PART) + "}"), F.lit(0))
+
+
+def text_at(parts: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from the offset ``start`` of a text in parts."""
+    first = F.floor(start / F.lit(PART)).cast("int")
+    last = F.floor((start + length) / F.lit(PART)).cast("int")
+    near = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+    return F.when(length > 0, F.substr(near, (start - first * PART + 1).cast("int"), length)).otherwise("")
+
+
+def placing(text: Column) -> Column:
+    """What place_of needs of a text: its parts, the line ends before each part, the offset of the
+    last of them (-1 if there is none), and the text's length."""
+
+    def ends(parts: Column) -> Column:
+        counts = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
+        lasts = F.transform(
+            parts,
+            lambda p, i: F.when(
+                p.contains("\n"), i * PART + F.length(p) - F.length(F.substring_index(p, "\n", -1)) - 1
+            ).otherwise(F.lit(-1)),
+        )
+        before = F.aggregate(
+            lasts, F.array(F.lit(-1)),
+            lambda seen, x: F.concat(seen, F.array(F.greatest(F.element_at(seen, -1), x))),
+        )
+        return F.struct(
+            parts.alias("parts"), prefix_sums(counts).alias("lines"), before.alias("last"),
+            F.length(text).alias("size"),
+        )
+
+    return let(text_parts(text), ends)
+
+
+def place_of(placed: Column, start: Column, stop: Column, width: int = 110) -> Column:
+    """Line, column and excerpt of a match: the same as line_of, column_of and make_snippet."""
+    part = F.floor(start / F.lit(PART)).cast("int")
+    pad = F.greatest(F.lit(0), F.floor((F.lit(width) - (stop - start)) / 2).cast("int"))
+    left, right = F.greatest(F.lit(0), start - pad), F.least(placed["size"], stop + pad)
+
+    def place(head: Column) -> Column:
+        own = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
+        col = F.when(own > 0, F.length(F.substring_index(head, "\n", -1)) + 1).otherwise(
+            start - F.get(placed["last"], part)
+        )
+        excerpt = strip(F.regexp_replace(text_at(placed["parts"], left, right - left), rx(r"\s+"), " "))
+        snippet = F.concat(
+            F.when(left > 0, F.lit("…")).otherwise(F.lit("")), excerpt,
+            F.when(right < placed["size"], F.lit("…")).otherwise(F.lit("")),
+        )
+        return F.struct(
+            F.when(start <= 0, F.lit(1)).otherwise(F.get(placed["lines"], part) + own + 1).cast("int").alias("line"),
+            F.when(start <= 0, F.lit(1)).otherwise(col).cast("int").alias("col"),
+            F.substring(snippet, 1, width + 40).alias("snippet"),
+        )
+
+    return let(text_at(placed["parts"], part * PART, start - part * PART), place)
+
+
 def collapse_ws(text: Column) -> Column:
     return F.regexp_replace(text, rx(r"\s+"), " ")
 

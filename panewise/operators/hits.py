@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from ..functions.sqlexpr import F
 from ..functions.predicates import is_vendor_bundle
 from ..functions.text import (
-    OPEN, column_of, contains_any, decode_escapes, exploded, let, line_of, make_snippet, marked,
-    matches, rx,
+    OPEN, contains_any, decode_escapes, exploded, let, marked,
+    matches, place_of, placing, rx, text_at, text_parts,
 )
 from ..model import ASSET_KEYS
 from ..rules.vulns import Rule
@@ -142,14 +142,18 @@ def hit_array(
     tails = {r.id: r.tail for r in (*raw_rules, *stripped_rules) if r.tail}
 
     def _with_tail(found: Column, source: Column, tail_of: dict[str, int]) -> Column:
-        return F.transform(found, lambda h: _tailed(h, source, tail_of))
+        if not tail_of:
+            return F.transform(found, lambda h: _tailed(h, source, tail_of))
+        # most texts have no hit, and then nothing is cut
+        parts = F.when(F.size(found) > 0, text_parts(source))
+        return let(parts, lambda ps: F.transform(found, lambda h: _tailed(h, ps, tail_of)))
 
-    def _tailed(h: Column, source: Column, tail_of: dict[str, int]) -> Column:
+    def _tailed(h: Column, parts: Column, tail_of: dict[str, int]) -> Column:
         tail = F.lit("")
         for length in sorted(set(tail_of.values())):
             names = [n for n, size in tail_of.items() if size == length]
             tail = F.when(
-                h["rule"].isin(*names), F.substr(source, h["stop"] + 1, F.lit(length))
+                h["rule"].isin(*names), text_at(parts, h["stop"], F.lit(length))
             ).otherwise(tail)
         return F.struct(
             h["rule"].alias("rule"), h["start"].alias("start"), h["stop"].alias("stop"),
@@ -181,30 +185,40 @@ def hit_array(
 
     content = F.col("content")
 
-    def located(region_idx: Column, off: Column, h: Column) -> Column:
+    def located(placed: Column, region_idx: Column, off: Column, h: Column) -> Column:
         start, stop = _focus(h, (*raw_rules, *stripped_rules))
         start, stop = off + start, off + stop
-        place = (
-            (line_of(content, start), column_of(content, start),
-             make_snippet(content, start, stop))
-            if locate
-            else (F.lit(0), F.lit(0), F.lit(""))
-        )
-        return F.struct(
-            region_idx.alias("region_idx"), h["rule"].alias("rule"), h["start"].alias("pos"),
-            start.alias("start"), stop.alias("stop"), h["text"].alias("text"),
-            h["groups"].alias("groups"), h["tail"].alias("tail"),
-            place[0].alias("line"), place[1].alias("col"), place[2].alias("snippet"),
-        )
 
-    return F.flatten(
-        F.transform(
-            code_region_array(F.col("kind"), content),
-            lambda r, i: F.transform(
-                region_hits(r["code"]), lambda h: located(i, r["off"], h)
+        def hit(place: Column) -> Column:
+            return F.struct(
+                region_idx.alias("region_idx"), h["rule"].alias("rule"), h["start"].alias("pos"),
+                start.alias("start"), stop.alias("stop"), h["text"].alias("text"),
+                h["groups"].alias("groups"), h["tail"].alias("tail"),
+                place["line"].alias("line"), place["col"].alias("col"), place["snippet"].alias("snippet"),
+            )
+
+        if not locate:
+            return hit({"line": F.lit(0), "col": F.lit(0), "snippet": F.lit("")})
+        return let(place_of(placed, start, stop), hit)
+
+    found = F.transform(
+        code_region_array(F.col("kind"), content),
+        lambda r, i: F.struct(i.alias("i"), r["off"].alias("off"), region_hits(r["code"]).alias("hits")),
+    )
+
+    def placed_hits(regions: Column) -> Column:
+        any_hit = F.exists(regions, lambda r: F.size(r["hits"]) > 0)
+        return let(
+            F.when(any_hit, placing(content)),
+            lambda placed: F.flatten(
+                F.transform(
+                    regions,
+                    lambda r: F.transform(r["hits"], lambda h: located(placed, r["i"], r["off"], h)),
+                )
             ),
         )
-    )
+
+    return let(found, placed_hits)
 
 
 def hit_rows(assets: DataFrame, found: Column, vendor_skip: Sequence[str] = ()) -> DataFrame:
