@@ -36,12 +36,8 @@ FINDING_COLUMNS = (
 
 @dataclass(frozen=True)
 class Options:
-    """Job parameters. Crawl budgets are off unless asked for: nothing is fetched here."""
+    """Job parameters. None of them drops or cuts data: bodies and sites are read whole."""
 
-    #: cut bodies to this many characters on admission; None keeps them whole
-    max_asset_chars: int | None = None
-    #: keep the first N captures of a site; None keeps all
-    max_assets: int | None = None
     min_confidence: str = "FIRM"
     min_severity: str = "INFO"
     fail_on: str | None = None

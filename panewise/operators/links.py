@@ -166,17 +166,17 @@ def manifest_candidates(assets: DataFrame, technologies: DataFrame) -> DataFrame
 
 
 def _walk(
-    spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth: int | None,
-    per_level: int | None = None,
+    spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth: int | None
 ) -> DataFrame:
     """Breadth-first walk: (site, url, depth) of every node reached.
 
     Each level is a join of the frontier with the edge table and an anti join with what was
     visited. Levels are checkpointed to the shared folder, so the plan stays short and a lost
-    executor costs one level. The edges are checkpointed once for all levels.
+    executor costs one level. The edges are checkpointed once, laid out by the key that every
+    level joins on, so no level shuffles them again.
     """
     checkpoint_dir(spark)
-    edges = edges.select("site", "src", "dst").distinct().checkpoint()
+    edges = edges.select("site", "src", "dst").repartition("site", "src").distinct().checkpoint()
     visited = seeds.select("site", F.col("url"), F.lit(0).alias("depth")).distinct().checkpoint()
     frontier, depth = visited, 0
     while max_depth is None or depth < max_depth:
@@ -188,11 +188,6 @@ def _walk(
             .join(visited.select("site", "url"), ["site", "url"], "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        if per_level is not None:
-            from pyspark.sql import Window
-
-            rank = F.row_number().over(Window.partitionBy("site").orderBy("url"))
-            step = step.withColumn("_rn", rank).where(F.col("_rn") <= per_level).drop("_rn")
         frontier = step.checkpoint()
         if frontier.isEmpty():
             break
@@ -219,13 +214,10 @@ def _seeds(assets: DataFrame) -> DataFrame:
     return assets.where("is_main").select("site", without_fragment(F.col("url")).alias("url"))
 
 
-def page_reachability(
-    assets: DataFrame, depth: int, per_level: int | None = None
-) -> DataFrame:
-    """Captured pages within ``depth`` page links of the site's own document; ``per_level`` is
-    a crawl budget and off by default."""
+def page_reachability(assets: DataFrame, depth: int) -> DataFrame:
+    """Captured pages within ``depth`` page links of the site's own document."""
     edges = _captured_edges(extract_page_links(assets), assets)
-    return _walk(assets.sparkSession, edges, _seeds(assets), depth, per_level)
+    return _walk(assets.sparkSession, edges, _seeds(assets), depth)
 
 
 def asset_closure(assets: DataFrame) -> DataFrame:

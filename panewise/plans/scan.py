@@ -71,13 +71,13 @@ class Scan:
 
     @cached_property
     def admitted(self) -> DataFrame:
-        return scan_responses(self.captures, self.options)
+        return scan_responses(self.captures)
 
     @cached_property
     def assets(self) -> DataFrame:
         """What the detectors read: maps are opened, and their sources stand in for them."""
         return self.admitted.where("kind != 'map'").unionByName(
-            ex.sourcemap_sources(self.admitted, self.options)
+            ex.sourcemap_sources(self.admitted)
         )
 
     @cached_property

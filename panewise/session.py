@@ -22,16 +22,23 @@ def local_session(cpus: int = 8, app: str = "panewise") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only an unset (test) session gets its own."""
+    """The shared folder the cluster names. A session on one machine gets a folder of its own if
+    none is named; on a cluster that would lose data, so there it is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
     if spark.sparkContext.getCheckpointDir() is None:
+        if not on_one_machine(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panewise-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediate tables, below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/panewise-{name}-{uuid.uuid4().hex}"

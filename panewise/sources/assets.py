@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from ..functions.sqlexpr import F
 from ..functions.text import clean_marks, strip
 from ..functions.urls import path_of
-from ..model import Options
 
 # What counts as text and as script, and the page extensions.
 TEXTUAL = ("text/", "json", "javascript", "xml", "html", "ecmascript", "css")
@@ -58,24 +57,20 @@ def classify_kind(url: Column, content_type: Column, content: Column) -> Column:
     )
 
 
-def scan_responses(captures: DataFrame, options: Options = Options()) -> DataFrame:
+def scan_responses(captures: DataFrame) -> DataFrame:
     """Admit responses: textual, with a body, status below 400. A narrow step."""
-    body = F.col("content")
-    if options.max_asset_chars is not None:
-        body = F.left(body, F.lit(options.max_asset_chars))
     admitted = captures.where(
         is_textual(F.col("content_type"))
         & (F.coalesce(F.length("content"), F.lit(0)) > 0)
         & (F.col("status") < 400)
-    ).withColumn("content", clean_marks(body))
-    out = admitted.withColumn(
+    ).withColumn("content", clean_marks(F.col("content")))
+    return admitted.withColumn(
         "kind", classify_kind(F.col("url"), F.col("content_type"), F.col("content"))
     )
-    return out if options.max_assets is None else asset_cap(out, options.max_assets)
 
 
 def asset_cap(assets: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` captures of each site: the crawl budget, when one is wanted.
+    """The first ``limit`` captures of each site: a report for planning crawls. No scan uses it.
 
     The rank runs over keys, not bodies, and Spark's window group limit cuts each task's
     rows to ``limit`` per site before the shuffle, so one huge site stays small.
