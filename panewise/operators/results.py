@@ -14,17 +14,18 @@ from ..model import (
 from .facts import fact
 from .findings import evidence_of, tags_of, to_findings
 
-#: extra places kept with a merged finding
+#: further places shown with a merged finding; finding_places has all of them
 EXTRA_PLACES = 50
 
 
 def finding_key(value: Column, snippet: Column) -> Column:
-    return F.when(value != "", strip(value)).otherwise(F.left(strip(snippet), F.lit(120)))
+    return F.when(value != "", strip(value)).otherwise(strip(snippet))
 
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
     """One row per (site, category, title, key): the first row's fields, the worst severity,
-    the best confidence, up to 50 further places, and the true number of mentions.
+    the best confidence, the first 50 further places to show, and the true number of mentions;
+    finding_places has all places.
 
     Counts and extremes combine on the map side. The places list is a top-51 per key: Spark's
     window group limit trims each task to 51 rows per key before the shuffle, so a key that
@@ -55,7 +56,7 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
         confidence_label(F.col("confidence_rank")).alias("confidence"),
         "severity_rank", "confidence_rank",
         *[F.col("f." + c).alias(c) for c in kept],
-        F.least(F.col("mentions"), F.lit(EXTRA_PLACES + 1)).alias("occurrences"),
+        F.col("mentions").alias("occurrences"),
         "mentions",
         F.transform(
             F.slice("seen", 2, EXTRA_PLACES), lambda s: s["place"]
@@ -63,6 +64,12 @@ def dedupe_findings(findings: DataFrame) -> DataFrame:
     )
 
 
+def finding_places(findings: DataFrame) -> DataFrame:
+    """Every place of every merged finding, one row each, by the finding's key."""
+    key = finding_key(F.col("value"), F.col("snippet")).alias("key")
+    return findings.select("site", "category", "title", key, "url", "line", "col", "snippet")
+
+
 def filter_min_confidence(findings: DataFrame, level: str = "FIRM") -> DataFrame:
     return findings.where(confidence_weight(F.col("confidence")) >= CONFIDENCE_RANK[level.upper()])
 
@@ -174,7 +181,7 @@ def backend_summary(endpoints: DataFrame) -> DataFrame:
     return to_findings(
         rows, "endpoints", EXPOSURE, asset_seq=F.lit(0), rule_ord=F.lit(400),
         title=F.lit("Backend hosts discovered"), severity=F.lit("INFO"),
-        confidence=F.lit("CONFIRMED"), value=F.left("listing", F.lit(400)),
+        confidence=F.lit("CONFIRMED"), value=F.col("listing"),
         url=F.col("base_url"), line=F.lit(0), col=F.lit(0), snippet=F.lit(""),
         detail=F.concat(
             F.lit("The scanned pages call "), F.col("hosts").cast("string"),
@@ -184,7 +191,7 @@ def backend_summary(endpoints: DataFrame) -> DataFrame:
                 F.lit(" belong to others"))).otherwise(""),
             F.lit(". A test of the site has to cover each of them.")),
         remediation=F.lit("Look at login and origin rules of each host."),
-        evidence=evidence_of(hosts=F.left("listing", F.lit(1000))),
+        evidence=evidence_of(hosts=F.col("listing")),
         tags=tags_of("recon", "backend"),
     )
 

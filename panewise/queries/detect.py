@@ -82,7 +82,7 @@ _HTML = f"(regexp_matches(text, {rp(wr.HTML_TAG)}) OR regexp_matches(text, {rp(w
 
 
 @finding_query("misc_vulns", _finding(
-    f"""(SELECT *, left(coalesce(nullif(array_to_string(groups, ''), ''), text), 160) AS val
+    f"""(SELECT *, coalesce(nullif(array_to_string(groups, ''), ''), text) AS val
          FROM {hits("regions", vr.MISC_RULES, _WIDER)} h JOIN {_details(vr.MISC_RULES)} USING (rule)
          WHERE NOT ({VENDOR} AND severity IN ('LOW', 'INFO'))
            AND NOT (rule = 'misc_http' AND regexp_matches(groups[1], {s(_NAMESPACES)}))
@@ -93,14 +93,14 @@ def _(c: Corpus):
 
 
 @finding_query("xss_sinks", _finding(
-    f"""(SELECT *, left(regexp_extract(text || left(tail, 200), {rp(vr.XSS_TAINT)}), 60) AS taint
+    f"""(SELECT *, regexp_extract(text || left(tail, 200), {rp(vr.XSS_TAINT)}) AS taint
          FROM {hits("stripped", vr.XSS_RULES, _WIDER)} h JOIN {_details(vr.XSS_RULES)} USING (rule)
          WHERE NOT {VENDOR}
            AND NOT (rule = 'xss_innerhtml' AND regexp_matches(tail, '^["'']\\s*["'']'))
            AND NOT (rule IN ('xss_eval', 'xss_jquery') AND regexp_matches(tail, '^["'']')))""",
     3, VULN, "title",
     "CASE WHEN taint = '' THEN severity WHEN severity = 'LOW' THEN 'MEDIUM' ELSE 'HIGH' END",
-    "CASE WHEN taint = '' THEN 'TENTATIVE' ELSE 'FIRM' END", "left(text, 100)",
+    "CASE WHEN taint = '' THEN 'TENTATIVE' ELSE 'FIRM' END", "text",
     "CASE WHEN taint = '' THEN 'Markup or code is made from a value at run time.' ELSE 'Markup or code is made from what the visitor sends (`' || taint || '`).' END",
     _spot()))
 def _(c: Corpus):
@@ -110,7 +110,7 @@ def _(c: Corpus):
 @finding_query("orm_usage", _finding(
     f"""(SELECT * FROM {hits("stripped", vr.ORM_RULES)} h JOIN {_details(vr.ORM_RULES)} USING (rule)
          WHERE NOT {VENDOR})""",
-    2, VULN, "title", "severity", "'FIRM'", "left(text, 120)", "detail", _spot(),
+    2, VULN, "title", "severity", "'FIRM'", "text", "detail", _spot(),
     rule_ord="rule_ord + 1"))
 def _(c: Corpus):
     return show(vu.orm_usage(c.scan.assets))
@@ -149,7 +149,7 @@ _SQL_ROWS = f"""(SELECT *, interp <> '' OR interpolated AS injected FROM (
     _SQL_ROWS, 2, VULN,
     f"CASE WHEN injected THEN {s(vr.SQL_INJECTION[1])} ELSE {s(vr.SQL_RAW[1])} END",
     "CASE WHEN injected THEN 'CRITICAL' ELSE 'HIGH' END", "'FIRM'",
-    "left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 160)",
+    "trim(regexp_replace(text, '\\s+', ' ', 'g'))",
     f"CASE WHEN injected THEN {s(vr.SQL_INJECTION[2])} ELSE {s(vr.SQL_RAW[2])} END",
     _spot(), rule_ord="0"))
 def _(c: Corpus):
@@ -158,8 +158,8 @@ def _(c: Corpus):
 
 @query("sql_evidence", SCAN_TOKENS + f"""
 SELECT site, asset_seq, start::BIGINT AS pos, split_part(stmt, '|', 1) AS statement,
-  coalesce(nullif(split_part(stmt, '|', 2), ''), '-') AS target, left(text, 300) AS query,
-  nullif(left(interp, 80), '') AS interpolation FROM {_SQL_ROWS}""")
+  coalesce(nullif(split_part(stmt, '|', 2), ''), '-') AS target, text AS query,
+  nullif(interp, '') AS interpolation FROM {_SQL_ROWS}""")
 def _(c: Corpus):
     e = F.col("evidence")
     return flat(vu.sql_statements(c.scan.assets).select(
@@ -210,7 +210,7 @@ _ROLES = _finding(
     "WHEN rule IN ('acc_role', 'acc_constant') THEN 'Role name exposed' "
     "WHEN rule = 'acc_catalogue' THEN 'Role/permission catalogue exposed (`' || groups[1] || '`)' ELSE title END",
     f"CASE WHEN rule <> 'acc_permission' AND {_IS_PRIV} THEN 'MEDIUM' ELSE 'LOW' END", "'FIRM'",
-    "CASE WHEN rule = 'acc_catalogue' THEN array_to_string(items[:12], ', ') ELSE single END",
+    "CASE WHEN rule = 'acc_catalogue' THEN array_to_string(items, ', ') ELSE single END",
     f"CASE WHEN rule IN ('acc_role', 'acc_constant') THEN 'Delivered code names the role `' || single || '`' "
     f"|| CASE WHEN {_IS_PRIV} THEN ', a privileged one' ELSE '' END || '.' "
     f"WHEN rule = 'acc_catalogue' THEN 'Delivered code lists ' || len(items) || ' entries of `' "
@@ -243,7 +243,7 @@ _CHECKS = _first(
 
 
 @finding_query("permission_checks", _finding(
-    _CHECKS, 5, ACC, "title", "severity", "'FIRM'", "left(call, 120)", "detail", _spot(), rule_ord="10"))
+    _CHECKS, 5, ACC, "title", "severity", "'FIRM'", "call", "detail", _spot(), rule_ord="10"))
 def _(c: Corpus):
     return show(acc.permission_checks(c.scan.assets))
 
@@ -258,13 +258,13 @@ def _(c: Corpus):
 @finding_query("auth_bypass", _finding(
     f"(SELECT * FROM {hits('stripped', ar.BYPASS_RULES)} h JOIN {_details(ar.BYPASS_RULES)} USING (rule) "
     f"WHERE NOT {VENDOR})",
-    5, ACC, "title", "severity", "'FIRM'", "left(text, 120)", "detail", _spot(), rule_ord="rule_ord + 20"))
+    5, ACC, "title", "severity", "'FIRM'", "text", "detail", _spot(), rule_ord="rule_ord + 20"))
 def _(c: Corpus):
     return show(acc.auth_bypass(c.scan.assets))
 
 
 @finding_query("idor_hints", _finding(
-    _first(f"(SELECT *, left(regexp_replace(text, '\\s+', ' ', 'g'), 140) AS val FROM "
+    _first(f"(SELECT *, regexp_replace(text, '\\s+', ' ', 'g') AS val FROM "
            f"{hits('stripped', ar.IDOR_RULES)} h JOIN {_details(ar.IDOR_RULES)} USING (rule) WHERE NOT {VENDOR})",
            "val"),
     5, ACC, "title", "severity", "'TENTATIVE'", "val", "detail", _spot(), rule_ord="30"))
@@ -488,7 +488,7 @@ _PARTS = f"""(SELECT *, trim(split_part(part, '/', 1)) AS pname,
     WHERE tech = '')) WHERE part <> '')"""
 TECH_SQL = {
     "tech_headers": f"""SELECT site, asset_seq, 0::BIGINT AS source_ord, (rule_ord * 1000)::BIGINT AS pos, tech AS name, '' AS version, category,
-        header || ': ' || left(hv, 60) AS evidence, url FROM {_HEADER_ROWS} JOIN {_HEADER_RULES} USING (header) WHERE tech <> ''
+        header || ': ' || hv AS evidence, url FROM {_HEADER_ROWS} JOIN {_HEADER_RULES} USING (header) WHERE tech <> ''
       UNION ALL SELECT site, asset_seq, 0, (rule_ord * 1000 + part_idx)::BIGINT, pname, pversion, category, header || ' header', url
       FROM {_PARTS} WHERE pname <> ''""",
     "tech_cookies": f"""SELECT site, asset_seq, 1::BIGINT AS source_ord, ord::BIGINT AS pos, name, '' AS version, category,
@@ -595,11 +595,11 @@ _NEXT_FINDINGS = _finding(
     f"""(SELECT * FROM {_NEXT_ROWS} WHERE json_extract(j, '$.runtimeConfig.serverRuntimeConfig') IS NOT NULL
         AND CAST(json_extract(j, '$.runtimeConfig.serverRuntimeConfig') AS VARCHAR) NOT IN ('{{}}', '[]', 'null', '""', '0', 'false'))""",
     0, EXPO, "'Next.js serverRuntimeConfig exposed to the browser'", "'HIGH'", "'CONFIRMED'",
-    "left(CAST(json_extract(j, '$.runtimeConfig.serverRuntimeConfig') AS VARCHAR), 200)",
+    "CAST(json_extract(j, '$.runtimeConfig.serverRuntimeConfig') AS VARCHAR)",
     "'The page''s data holds settings that only the server should see.'", _NEXT_SPOT, rule_ord="100", region="0", pos="0",
 ) + " UNION ALL " + _finding(
     f"""(SELECT n.*, k.listing, k.total FROM {_NEXT_ROWS} n JOIN (SELECT site, asset_seq,
-        array_to_string(list_sort(list(key))[:20], ', ') AS listing, count(*) AS total FROM env_keys GROUP BY 1, 2) k
+        array_to_string(list_sort(list(key)), ', ') AS listing, count(*) AS total FROM env_keys GROUP BY 1, 2) k
         USING (site, asset_seq))""",
     0, EXPO, "'Environment variables embedded in __NEXT_DATA__'", "'MEDIUM'", "'CONFIRMED'", "listing",
     "total || ' environment variable(s) are part of the page''s data, for every visitor to read.'",
@@ -660,7 +660,7 @@ def _(c: Corpus):
 @finding_query("wordpress_summary", _finding(
     f"""(SELECT w.*, m.asset_seq, m.url, m.head FROM (
       SELECT site, k, count(*) AS n, count(*) FILTER (WHERE version <> '') AS v,
-        array_to_string(list_transform(list_sort(list(struct_pack(s := slug, v := version)))[:20],
+        array_to_string(list_transform(list_sort(list(struct_pack(s := slug, v := version))),
           lambda e: e.s || CASE WHEN e.v <> '' THEN ' ' || e.v ELSE '' END), ', ') AS listing
       FROM (SELECT site, split_part(category, '-', 2) AS k, regexp_replace(name, '^[^:]*: ', '') AS slug, version
             FROM ({MERGED_SQL}) WHERE category IN ('wordpress-plugin', 'wordpress-theme')) GROUP BY 1, 2) w
@@ -720,7 +720,7 @@ _PROBLEMS = (
 
 @finding_query("csp_quality", _finding(
     f"(SELECT *, {_PROBLEMS} AS problems FROM {_DOCS} WHERE len({_PROBLEMS}) > 0)", 7, HEAD,
-    "'Weak Content-Security-Policy'", "'MEDIUM'", "'CONFIRMED'", "left(csp, 300)",
+    "'Weak Content-Security-Policy'", "'MEDIUM'", "'CONFIRMED'", "csp",
     "'The policy leaves gaps: ' || array_to_string(problems, '; ') || '.'", _DOC, rule_ord="10", region="0",
     pos="0"), SCAN)
 def _(c: Corpus):
@@ -731,7 +731,7 @@ def _(c: Corpus):
     f"(SELECT * FROM {_DOCS} WHERE trim(acao) = '*')", 7, HEAD,
     "CASE WHEN acac = 'true' THEN 'Dangerous CORS configuration' ELSE 'Wildcard CORS origin' END",
     "CASE WHEN acac = 'true' THEN 'HIGH' ELSE 'LOW' END", "'CONFIRMED'",
-    "CASE WHEN acac = 'true' THEN acao || ' / credentials: ' || acac ELSE left(acao, 120) END",
+    "CASE WHEN acac = 'true' THEN acao || ' / credentials: ' || acac ELSE acao END",
     "CASE WHEN acac = 'true' THEN 'Every origin is allowed, and credentials with it.' "
     "ELSE 'Scripts of every site can read this answer.' END", _DOC, rule_ord="20", region="0", pos="0"), SCAN)
 def _(c: Corpus):
@@ -751,7 +751,7 @@ _COOKIES = f"""(SELECT *, list_filter([CASE WHEN NOT contains(lower(cookie), 'ht
     f"(SELECT * FROM {_COOKIES} WHERE len(missing) > 0)", 7, HEAD,
     "'Cookie `' || cname || '` missing ' || array_to_string(missing, '/')",
     "CASE WHEN regexp_matches(cname, '(?i)sess|auth|token|jwt|login|remember|sid') THEN 'MEDIUM' ELSE 'LOW' END",
-    "'CONFIRMED'", "left(cookie, 120)",
+    "'CONFIRMED'", "cookie",
     "'Attributes that this cookie lacks: ' || array_to_string(missing, ', ') || '.' || CASE WHEN "
     "regexp_matches(cname, '(?i)sess|auth|token|jwt|login|remember|sid') AND list_contains(missing, 'HttpOnly') THEN "
     "' By its name it carries a session, which scripts can read.' ELSE '' END", _DOC, rule_ord="30 + ci",

@@ -59,7 +59,7 @@ _BACKENDS = f"""(SELECT t.*, l.listing FROM (SELECT site, base_url, count(*) AS
     FROM hosts GROUP BY 1, 2) t JOIN (SELECT site, string_agg(host || ' (' || n || ' endpoints)', ', ' ORDER BY rank) AS listing
     FROM ranked_hosts WHERE rank <= 15 GROUP BY site) l USING (site))"""
 FINDING_SQL["backend_summary"] = _finding(
-    _BACKENDS, 6, EXPO, "'Backend hosts discovered'", "'INFO'", "'CONFIRMED'", "left(listing, 400)",
+    _BACKENDS, 6, EXPO, "'Backend hosts discovered'", "'INFO'", "'CONFIRMED'", "listing",
     "'The scanned pages call ' || hosts || ' backend host(s)' || CASE WHEN external > 0 THEN '; ' || external || "
     "' belong to others' ELSE '' END || '. A test of the site has to cover each of them.'",
     _NO_PLACE, rule_ord="400", region="0", pos="0", url="base_url", seq="0")
@@ -70,14 +70,14 @@ _RANKS = """CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM
 _WS = "chr(32) || chr(9) || chr(10) || chr(13)"
 _ORDER = "asset_seq, detector_ord, rule_ord, region_idx, pos"
 ALL = EP + ", " + ENV_SQL + "raw_findings AS (" + " UNION ALL ".join(FINDING_SQL.values()) + f"""),
-keyed AS (SELECT *, {_RANKS}, CASE WHEN value <> '' THEN trim(value, {_WS}) ELSE left(trim(snippet, {_WS}), 120) END AS key
+keyed AS (SELECT *, {_RANKS}, CASE WHEN value <> '' THEN trim(value, {_WS}) ELSE trim(snippet, {_WS}) END AS key
   FROM raw_findings),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY site, category, title, key ORDER BY {_ORDER}) AS rn,
     count(*) OVER k AS mentions, max(sr) OVER k AS msr, max(cr) OVER k AS mcr FROM keyed
   WINDOW k AS (PARTITION BY site, category, title, key)),
 findings AS (SELECT * EXCLUDE (severity, confidence, sr, cr),
     ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][msr] AS severity, ['TENTATIVE', 'FIRM', 'CONFIRMED'][mcr] AS confidence,
-    least(mentions, 51) AS occurrences FROM numbered WHERE rn = 1),
+    mentions AS occurrences FROM numbered WHERE rn = 1),
 sites AS (SELECT DISTINCT site FROM captures) """
 _SHOWN = ("site", "category", "title", "severity", "confidence", "value", "detail", "url", "line", "occurrences", "mentions")
 
@@ -93,6 +93,11 @@ def _show(findings):
 # ---- findings --------------------------------------------------------------------------
 
 
+@query("finding_places", ALL + """SELECT site, category, title, key, url, line, col, snippet FROM numbered""")
+def _(c: Corpus):
+    return flat(rs.finding_places(c.scan.asset_findings))
+
+
 @query("dedupe_findings", ALL + """
 SELECT f.site, f.category, f.title, f.key, f.severity, f.confidence, f.value, f.detail, f.url, f.line, f.col, f.snippet,
   f.occurrences, f.mentions, coalesce(string_agg(n.url || ':' || n.line, '|' ORDER BY n.rn) FILTER (WHERE n.rn BETWEEN 2 AND 51), '') AS also

@@ -6,7 +6,7 @@ import pytest
 
 from panewise.operators import links as lk
 from panewise.operators import results as rs
-from panewise.operators.vulnerabilities import misc_vulns
+from panewise.operators.vulnerabilities import misc_vulns, sql_statements
 from panewise.plans.scan import Scan, select_detectors
 from panewise.queries import ORACLES, QUERIES
 from panewise.sources.assets import CAPTURE_SCHEMA, asset_cap, normalize_target, scan_responses
@@ -25,7 +25,7 @@ def test_a_hot_key_keeps_its_count_and_first_places(spark):
     found = misc_vulns(scan_responses(_captures(spark, rows)))
     merged = {r.site: r for r in rs.dedupe_findings(found).collect()}
     hot = merged["hot.com"]
-    assert (hot.mentions, hot.occurrences, len(hot.also_seen)) == (500, 51, 50)
+    assert (hot.mentions, hot.occurrences, len(hot.also_seen)) == (500, 500, 50)
     assert hot.url == "https://hot.com/0.js" and hot.also_seen[0].url == "https://hot.com/1.js"
     assert merged["cold.com"].mentions == 1 and merged["cold.com"].also_seen == []
 
@@ -114,3 +114,13 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_every_query_has_an_oracle_or_a_reason():
     assert set(QUERIES) - set(ORACLES) == {"sink_markdown", "sink_text", "sink_json", "stream_scan"}
+
+
+def test_statements_that_differ_late_stay_two_findings(spark):
+    columns = ", ".join(f"column_number_{i}" for i in range(15))
+    body = "\n".join(f'var q{n} = "SELECT {columns} FROM orders WHERE kind = {n} ORDER BY id";' for n in (1, 2))
+    rows = [("s", "https://s.example/", 1, True, "https://s.example/a.js", 200, "application/javascript", {}, body)]
+    found = sql_statements(scan_responses(spark.createDataFrame(rows, CAPTURE_SCHEMA)))
+    merged = rs.dedupe_findings(found).collect()
+    assert len(merged) == 2 and all(len(r.value) > 200 for r in merged)
+    assert rs.finding_places(found).count() == 2
