@@ -329,11 +329,13 @@ def json_rows(scan: Scan, min_confidence: str = "TENTATIVE") -> DataFrame:
 
 
 def report_name(domain: Column, stamp: Column) -> Column:
-    """A file-safe name for a site's report."""
-    safe = F.btrim(
-        F.regexp_replace(F.coalesce(domain, F.lit("target")), r"[^A-Za-z0-9._-]+", "_"), F.lit("_")
+    """A file-safe name for a site's report; a hash keeps apart sites whose names were altered."""
+    site = F.coalesce(domain, F.lit("target"))
+    safe = F.btrim(F.regexp_replace(site, r"[^A-Za-z0-9._-]+", "_"), F.lit("_"))
+    mark = F.when(safe == site, "").otherwise(
+        F.concat(F.lit("_"), F.left(F.sha2(site, F.lit(256)), F.lit(8)))
     )
-    return F.concat(F.when(safe == "", "target").otherwise(safe), F.lit("_"), stamp)
+    return F.concat(F.when(safe == "", "target").otherwise(safe), mark, F.lit("_"), stamp)
 
 
 def write_lines(lines: DataFrame, path: str, stamp: str) -> None:

@@ -279,8 +279,9 @@ def _(c: Corpus):
 
 
 @query("report_name", ASSETS + """
-SELECT site, coalesce(nullif(trim(regexp_replace(site, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'target') || '_20240101-000000' AS name
-FROM (SELECT DISTINCT site FROM captures)""")
+SELECT site, coalesce(nullif(safe, ''), 'target') || CASE WHEN safe = site THEN '' ELSE '_' || left(sha256(site), 8) END
+  || '_20240101-000000' AS name
+FROM (SELECT DISTINCT site, trim(regexp_replace(site, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS safe FROM captures)""")
 def _(c: Corpus):
     return c.scan.sites.select("site", rp_.report_name(F.col("site"), F.lit("20240101-000000")).alias("name"))
 

@@ -12,6 +12,7 @@ from ..functions.urls import without_fragment
 from ..operators import access as acc
 from ..operators import secrets as sc
 from ..operators import vulnerabilities as vu
+from ..operators.exposure import sourcemap_sources
 from ..operators.hits import hits
 from ..rules import vulns as rules
 from ..sources.assets import CAPTURE_SCHEMA, scan_responses
@@ -34,10 +35,18 @@ def first_fetches(captures: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
+def stream_assets(captures: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """What the detectors read: the first admitted answer of each URL, so that an early error does
+    not hide a later page, with source maps replaced by the sources in them, as in a batch."""
+    admitted = first_fetches(scan_responses(captures), lateness)
+    code = admitted.where(F.col("kind") != "map")
+    return code.unionByName(sourcemap_sources(admitted).select(*code.columns))
+
+
 def stream_hits(captures: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Rule hits of a capture stream; matching is stateless per capture."""
     return hits(
-        scan_responses(first_fetches(captures, lateness)),
+        stream_assets(captures, lateness),
         rules.MISC_RULES,
         (*rules.ORM_RULES, *rules.XSS_RULES, *acc.ACCESS_RULES),
         {"sql": vu.sql_gate, "secret": sc.secret_gate},

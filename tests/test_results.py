@@ -96,6 +96,9 @@ def test_stream_equals_batch(spark, tmp_path):
     from panewise.streaming.scan import batch_findings, read_capture_stream, stream_hits, stream_scan
 
     rows = [_js("st.com", i, f"debug: true; el.innerHTML = location.hash; const userRole = 'admin{i}';") for i in range(6)]
+    late = _js("st.com", 6, "debug: true; var late = 1;", "https://st.com/late.js")
+    rows += [(*late[:5], 404, *late[6:]), ("st.com", late[1], 7, *late[3:])]  # an error, then the page
+    rows.append(_js("st.com", 8, '{"version":3,"sources":["a.ts"],"sourcesContent":["debug: true"]}', "https://st.com/m.js.map"))
     rows.append(_js("st.com", 9, "debug: true", "https://st.com/0.js"))  # a repeated fetch
     arrived = _captures(spark, rows).withColumn("fetched_at", F.timestamp_seconds(F.col("asset_seq") + 1704067200))
     arrived.where("asset_seq < 3").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -107,9 +110,13 @@ def test_stream_equals_batch(spark, tmp_path):
     from panewise.operators import access as acc
     from panewise.rules import vulns as vr
 
-    batch_hits = hits(scan_responses(_captures(spark, rows[:-1])), vr.MISC_RULES, (*vr.XSS_RULES, *acc.ACCESS_RULES))
+    from panewise.operators.exposure import sourcemap_sources
+
+    admitted = scan_responses(_captures(spark, rows[:-1]))
+    code = admitted.where("kind <> 'map'").unionByName(sourcemap_sources(admitted))
+    batch_hits = hits(code, vr.MISC_RULES, (*vr.XSS_RULES, *acc.ACCESS_RULES))
     want = sorted(tuple(r[k] for k in key) for r in batch_findings(batch_hits).collect())
-    assert got == want and got
+    assert got == want and {7, 8} <= {r[0] for r in got}
 
 
 def test_every_query_has_an_oracle_or_a_reason():
