@@ -41,6 +41,16 @@ def bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < share)
 
 
+#: Rows of a few numbers that may be broadcast, some 25 MB in a hash table.
+FEW_ROWS = 1 << 18
+
+
+def if_few(rows: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast where its counted rows are few; beyond that it is
+    joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(name).to_pylist()
 

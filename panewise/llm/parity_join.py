@@ -13,10 +13,14 @@ counts of all shingles of all documents, in a table of 2**20 counters, decide. W
 shingle come last of all, so they are used only where a small document has no others.
 
 Candidates are verified on the texts. Documents of the same shingle set are one class and one node.
-In a group of documents that share a sketch word, first each is tested against its most frequent
-least member; then the other pairs with a least member, and last all pairs of the group, each time
-only where the two ends are not yet in one component. So no link between components is lost, and
-copies are not compared with each other.
+The nodes that share a sketch word are linked to the least of them, their centre; all that meet at
+a centre are its star. First each node is tested against its most frequent centre, which joins
+copies into components. Then, in stars that hold several components, pairs of nodes of different
+components are held against two bounds, the sizes and the Hamming distance of parity sketches of
+SKETCH_BITS bits, one bit for each shingle. In rounds, each node's nearest partner is verified and
+components merge, as long as that finds links; last, all pairs that are left are verified. Large
+stars are dealt in pairs of blocks. So no link between components is lost, and copies are not
+compared with each other.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chars
-from .common import binary, kept, texts
+from .common import binary, if_few, kept, texts
 from .components import components
 
 WIDTH = 5
@@ -42,8 +46,10 @@ PART_ENTRIES = 1 << 19
 FLUSH = 1 << 21
 
 FACTS = "doc_id long, text_hash long, n long, sig long, chunk int, counts binary"
-ENTRIES = "part int, keys binary, owners binary, lengths binary"
-FOUND = "key long, a long, b long, n long"
+ENTRIES = "part int, keys binary, owners binary"
+FOUND = "a long, b long, n long"
+#: Bits of the sketches that verification is spared by; nodes of a star in one block.
+SKETCH_BITS, BLOCK = 2048, 2048
 
 
 def sets_of(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,16 +175,15 @@ def sketched(docs: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             key, own = np.concatenate(keys), np.concatenate(owners)
-            part = (key % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            key, own, part = key[order], own[order], part[order]
-            rows: tuple[list, ...] = ([], [], [], [])
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], own[order]
+            part = (key // np.uint64((1 << 64) // parts + 1)).astype(np.int64)  # a range of keys
+            rows: tuple[list, ...] = ([], [], [])
             edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                runs = np.flatnonzero(np.concatenate(([True], own[s + 1 : e] != own[s : e - 1], [True])))
-                for row, x in zip(rows, (int(part[s]), key[s:e].tobytes(), own[s:e][runs[:-1]].tobytes(), np.diff(runs).astype(np.uint32).tobytes()), strict=True):
+                for row, x in zip(rows, (int(part[s]), key[s:e].tobytes(), own[s:e].tobytes()), strict=True):
                     row.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *map(binary, rows[1:])], names=["part", "keys", "owners", "lengths"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *map(binary, rows[1:])], names=["part", "keys", "owners"])
 
         for batch in batches:
             for _, _, cp, starts in chars.blocks(texts(batch)):
@@ -204,53 +209,40 @@ def sketched(docs: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
     return docs.select("text").where("text is not null").mapInArrow(run, ENTRIES)
 
 
-def met(key: np.ndarray, own: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of one part: pairs of a key's least member with each other one, (a, b, keys in common), and
-    members (key, node) of keys of three and more, one key for each different group."""
+def met(key: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Of one part: each key's least member with each other one, as (a, b, keys in common)."""
     order = np.lexsort((own, key))
     key, own = key[order], own[order]
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
     key, own = key[fresh], own[fresh]
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    size = np.diff(edge)
-    group = np.repeat(np.arange(len(size)), size)
-    keep = (size > 1)[group]
-    rest = keep.copy()
+    group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    rest = np.ones(len(own), bool)
     rest[edge[:-1]] = False
     a, b = own[edge[:-1]][group[rest]], own[rest]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
-    pairs = [a[at], b[at], np.diff(np.append(at, len(a)))]
-    mark = np.add.reduceat(chars.mixed(own), edge[:-1])
-    large = np.flatnonzero(size > 2)
-    _, one = np.unique(mark[large], return_index=True)
-    chosen = np.zeros(len(size), bool)
-    chosen[large[one]] = True
-    member = chosen[group]
-    return pairs, [key[member], own[member]]
+    return [a[at], b[at], np.diff(np.append(at, len(a)))]
 
 
 def matched(entries: DataFrame) -> DataFrame:
-    """Candidates: rows with b are pairs, rows with key are members of a group."""
+    """Candidates: a centre, a node of its star, and the sketch words of a part they share."""
 
     def rows(key, own) -> pa.RecordBatch:
-        (a, b, n), (k, m) = met(np.concatenate(key), np.concatenate(own))
-        i64 = lambda x: pa.array(x.view(np.int64))
-        gone = lambda x: pa.nulls(len(x), pa.int64())
-        cols = [[gone(a), i64(k)], [i64(a), i64(m)], [i64(b), gone(k)], [pa.array(n, pa.int64()), gone(k)]]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], names=["key", "a", "b", "n"])
+        a, b, n = met(np.concatenate(key), np.concatenate(own))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, key, own = None, [], []
         for batch in batches:
-            for part, k, o, c in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "owners", "lengths")), strict=True):
+            for part, k, o in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "owners")), strict=True):
                 if part != now and key:
                     yield rows(key, own)
                     key, own = [], []
                 now = part
                 key.append(np.frombuffer(k, np.uint64))
-                own.append(np.repeat(np.frombuffer(o, np.uint64), np.frombuffer(c, np.uint32)))
+                own.append(np.frombuffer(o, np.uint64))
         if key:
             yield rows(key, own)
 
@@ -285,8 +277,12 @@ def similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                 good |= (total > 0) & (100 * common >= SHARE * (total - common))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
-    x, y = (bodies.select(F.col("sig").alias(e), F.col("text").alias(t)) for e, t in (("a", "x"), ("b", "y")))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+    # written first: Spark then knows how small they are, and few pairs do not move all texts
+    pairs = kept(pairs.select("a", "b"), "candidates")
+    nodes = kept(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "candidate-nodes")
+    needed = kept(bodies.join(if_few(nodes), "sig", "left_semi"), "candidate-bodies")
+    x, y = (needed.select(F.col("sig").alias(e), F.col("text").alias(t)) for e, t in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
 
 
 def bodies_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -301,11 +297,94 @@ def bodies_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
                 good = pa.array(sig == wanted[low:high])
                 yield pa.RecordBatch.from_arrays([batch.column(c)[low:high].filter(good) for c in ("sig", "text")], names=["sig", "text"])
 
-    wanted = classes.join(nodes, "sig", "left_semi").select("sig", F.col("doc_id").alias("wanted"))
-    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")))
+    wanted = kept(classes.join(nodes, "sig", "left_semi").select("sig", F.col("doc_id").alias("wanted")), "wanted")
+    found = docs.select("doc_id", "text").join(if_few(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")))
     return found.select("sig", "text").mapInArrow(run, "sig long, text string").dropDuplicates(["sig"])
 
 
+def parity_sketches(bodies: DataFrame) -> DataFrame:
+    """(node, n, sketch): set size and the parities of the shingles' bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, cp, starts in chars.blocks(texts(batch), 1 << 16):
+                owner, value, n, _ = sets_of(cp, starts)
+                bit = owner * SKETCH_BITS + (chars.mixed(value + np.uint64(3)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+                odd = np.packbits((np.bincount(bit, minlength=SKETCH_BITS * len(n)) & 1).astype(bool).reshape(len(n), -1), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("sig")[low:high], pa.array(n, pa.int64()), binary([x.tobytes() for x in odd])], names=["node", "n", "sketch"])
+
+    return bodies.select("sig", "text").mapInArrow(run, "node long, n long, sketch binary")
+
+
+def may_link(left: tuple, right: tuple, same: bool, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of two blocks (components, sizes, sketches) that are in different
+    components and within both bounds; of each left one all, or the nearest only."""
+    (c1, n1, s1), (c2, n2, s2) = left, right
+    out = []
+    order = np.argsort(n2, kind="stable")
+    sizes = n2[order]
+    for i in range(len(n1)):
+        low, high = np.searchsorted(sizes, [-(-SHARE * n1[i] // 100), 100 * n1[i] // SHARE + 1])
+        at = order[low:high]
+        at = at[c2[at] != c1[i]]
+        if same and not nearest:
+            at = at[at > i]
+        if len(at):
+            apart = np.bitwise_count(s2[at] ^ s1[i]).sum(axis=1)
+            good = apart <= most_different(n2[at], n1[i])
+            at = at[good]
+            if nearest and len(at):
+                at = at[[int(np.argmin(apart[good]))]]
+            out.append((np.full(len(at), i), at))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def between_components(stars: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b) of the stars' nodes (star, node, component) that may link; all, or each node's
+    nearest one."""
+    sizes = stars.groupBy("star").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = sizes.where("low < high").select("star", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = kept(stars.join(mixed, "star"), "mixed").join(sketches, "node").withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("blocks", "other")
+
+    def pairs(rows: list[dict]) -> pa.RecordBatch:
+        first, last = rows[0]["x"], rows[0]["y"]
+
+        def block(which: int):
+            mine = [r for r in rows if r["own"] == which]
+            sketch = np.frombuffer(b"".join(r["sketch"] for r in mine), np.uint64).reshape(len(mine), -1)
+            return np.array([r["node"] for r in mine], np.int64), (np.array([r["component"] for r in mine], np.int64), np.array([r["n"] for r in mine], np.int64), sketch)
+
+        ids1, left = block(first)
+        ids2, right = block(last)
+        i, j = may_link(left, right, first == last, nearest)
+        a, b = ids1[i], ids2[j]
+        if nearest and first != last:
+            j, i = may_link(right, left, False, True)
+            a, b = np.concatenate((a, ids1[i])), np.concatenate((b, ids2[j]))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = r["star"], r["x"], r["y"]
+                if key != now and rows:
+                    yield pairs(rows)
+                    rows = []
+                now = key
+                rows.append(r)
+        if rows:
+            yield pairs(rows)
+
+    keys = ["star", "x", "y"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
 def classes_and_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and text_hash of every row of (doc_id, text).
 
@@ -321,38 +400,30 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n")).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(width, -(-total // (2 * PART_ENTRIES)))
-    found = kept(matched(sketched(docs, ranks(known), parts)), "candidates")
-    pairs = kept(found.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    found = matched(sketched(docs, ranks(known), parts))
+    pairs = kept(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     bodies = kept(bodies_of(docs, classes, nodes), "bodies")
 
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = kept(similar(first, bodies), "links-1")
-    joined = kept(components(links), "components-1")
-
-    def apart(candidates: DataFrame) -> DataFrame:
-        """Those whose ends are not in one component."""
-        for end in ("a", "b"):
-            at = joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-            candidates = candidates.join(at, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        return candidates.where("ca <> cb").select("a", "b")
-
-    second = kept(apart(pairs.join(first, ["a", "b"], "left_anti")), "apart-2")
-    if not second.isEmpty():
-        links = kept(links.union(similar(second, bodies)), "links-2")
-        joined = kept(components(links), "components-2")
-    at = joined.select(F.col("node").alias("a"), "component")
-    members = found.where("b is null").select("key", "a").join(at, "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    members = kept(members.join(mixed, "key", "left_semi"), "members")
-    if not members.isEmpty():
-        x, y = (members.select("key", F.col("a").alias(n), F.col("component").alias(f"c{n}")) for n in ("a", "b"))
-        third = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        third = third.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        third = kept(third, "apart-3")
-        links = kept(links.union(similar(third, bodies)), "links-3")
-        joined = kept(components(links), "components-3")
+    links = kept(similar(first, bodies), "links")
+    joined = kept(components(links), "components")
+    stars = pairs.select(F.col("a").alias("star"), F.col("b").alias("node"))
+    stars = stars.union(stars.select("star", F.col("star").alias("node")).distinct())
+    stars = kept(stars, "stars")
+    sketches = kept(parity_sketches(bodies), "sketches")
+
+    def more(nearest: bool) -> DataFrame:
+        now = stars.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return kept(similar(between_components(now, sketches, nearest), bodies), "more")
+
+    for nearest in (True, False):
+        while not (new := more(nearest)).isEmpty():
+            links = kept(links.union(new), "links")
+            joined = kept(components(links), "components")
+            if not nearest:
+                break
 
     least = classes.join(joined, classes["sig"] == joined["node"]).groupBy("component").agg(F.min("doc_id").alias("least"))
     of_class = classes.join(joined, classes["sig"] == joined["node"], "left").join(least, "component", "left")
@@ -369,18 +440,16 @@ def survivors(docs: DataFrame) -> DataFrame:
     rows = kept(classes_and_components(docs), "components")
     worded = rows.where("n_shingles > 0").groupBy("component_id")
     first = worded.agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
-    at = rows.where("n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = ["_id", "_hash"]
-    copies = at.groupBy(same).count()
-    copies = copies.join(first.withColumn("_stays", F.lit(True)), [copies[c].eqNullSafe(first[c]) for c in same], "left")
-    marked = copies.where("_stays is null or count > 1").select(copies["_id"], copies["_hash"], F.col("_stays").isNotNull().alias("_stays"))
-    marked = kept(marked, "marked")
-    hashed = docs.withColumn("_text", F.xxhash64("text"))
-    on = hashed["doc_id"].eqNullSafe(marked["_id"]) & (hashed["_text"] == marked["_hash"])
-    clean = hashed.join(marked, on, "left_anti").select(docs.columns)
+    first = first.select(F.col("x.doc_id").alias("first_id"), F.col("x.text_hash").alias("first_hash"))
+    copies = rows.where("n_shingles > 0").groupBy("doc_id", "text_hash").count()
+    same = copies["doc_id"].eqNullSafe(first["first_id"]) & (copies["text_hash"] == first["first_hash"])
+    marked = copies.join(first, same, "left").where("first_hash is null or count > 1")
+    marked = marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("first_hash").isNotNull().alias("_stays"))
+    marked = if_few(kept(marked, "marked"))
+    text = F.xxhash64(docs["text"])
+    clean = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]) & (text == marked["_hash"]), "left_anti")
     repeated = marked.where("_stays")
     if repeated.isEmpty():
         return clean
-    again = hashed.join(repeated, hashed["doc_id"].eqNullSafe(repeated["_id"]) & (hashed["_text"] == repeated["_hash"]), "left_semi")
-    return clean.union(again.dropDuplicates(["doc_id", "_text"]).select(docs.columns))
+    again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_id"]) & (text == repeated["_hash"]), "left_semi")
+    return clean.union(again.dropDuplicates(["doc_id", "text"]))
