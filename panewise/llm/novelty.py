@@ -4,8 +4,8 @@ Base spans are the stated patterns of kinds assign, access and hex. The method a
 novel: a run of 20 to 512 characters of [A-Za-z0-9+/_=-] with letters and digits, after a sensitive
 word within 64 characters, whose marginal cost is high: the bytes zstandard needs for context and
 run, less the bytes for the context alone, are at least 0.7 of the run's length. The compressor is
-primed with code identifiers and a sample of the corpus, and the context is the 256 characters
-before the run. What base spans cover is not reported again.
+primed with code identifiers and the words that most distinct texts of the table hold, never with
+text, and the context is the 256 characters before the run. What base spans cover is not reported again.
 
 Positions are code points, ends exclusive. Texts are scanned whole. Cases: a null text counts as
 empty; null and repeated ids are kept as they are; an empty table gives no rows. Other columns are
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chars
-from .common import bounded, texts
+from .common import texts
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -36,8 +36,10 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|credential|auth|bearer|private|signature", re.IGNORECASE | re.ASCII)
 LEAST_NOVEL, MOST_NOVEL, NEAR, CONTEXT, NEW = 20, 512, 64, 256, 0.7
-#: The corpus sample behind the identifiers in the dictionary: at most about this many stretches.
-SAMPLES, SAMPLE_CHARS = 400, 256
+#: Whole runs of 4 to 32 lower-case letters, with dashes; those in this many distinct texts are counted
+#: over all documents, and the commonest, up to these bytes, stand before the identifiers.
+WORD = "(?<![A-Za-z0-9+/_=-])[a-z][a-z_-]{3,31}+(?![A-Za-z0-9+/_=-])"
+LEAST_TEXTS, DICTIONARY = 2, 100_000
 IDENTIFIERS = (
     "import export default function return const class public private static void string number boolean null true false "
     "config settings environment process.env getenv os.environ username email address account client_id client_secret "
@@ -107,14 +109,24 @@ class Scanner:
         return out
 
 
-def dictionary(docs: DataFrame, most: int = SAMPLES) -> bytes:
-    """Identifiers and a bounded sample of the corpus; only marginal costs depend on it."""
-    key = F.xxhash64(F.col("doc_id"), F.lit(31))
-    start = F.pmod(key, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    rows = bounded(docs.select("doc_id", "text").where("text is not null"), "doc_id", most)
-    rows = rows.select(F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
-    parts = sorted(r["part"] for r in rows.distinct().limit(2 * most).collect())
-    return ("\n".join(parts) + "\n" + IDENTIFIERS).encode()
+def dictionary(docs: DataFrame, most: int = DICTIONARY) -> bytes:
+    """Identifiers and the words that most distinct texts hold, commonest last, most bytes of them."""
+    rows = docs.where("text is not null").select(F.expr("xxhash64(text)").alias("h"), F.expr("xxhash64(text, 31)").alias("g"), words("text"))
+    held = rows.where("words <> ''").dropDuplicates(["h", "g"]).select(F.explode(F.split("words", " ")).alias("word"))
+    common = held.groupBy("word").count().where(F.col("count") >= LEAST_TEXTS)
+    taken, size = [], 0
+    for r in common.orderBy(F.desc("count"), "word").limit(most // 5).collect():
+        if (size := size + len(r["word"]) + 1) > most:
+            break
+        taken.append(r["word"])
+    return "\n".join([*reversed(taken), IDENTIFIERS]).encode()
+
+
+def words(column: str) -> Column:
+    """The distinct words of a text, with blanks between. A word is a whole run without digits and
+    capitals, so no string that is judged can be one or, as none of its characters parts them, reach
+    over two."""
+    return F.array_join(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(WORD), F.lit(0))), " ").alias("words")
 
 
 def joined(spans: list[Span]) -> str:

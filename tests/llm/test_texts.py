@@ -96,6 +96,33 @@ def test_novel_strings_need_context_and_entropy():
     assert scan([f"é🎉 private {key} and private {key}"])[0][0] == (11, 3, 51)
 
 
+def novel_keys(spark, copies, others):
+    rnd = random.Random(8)
+    key = lambda: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(40))
+    prose = lambda: " ".join(rnd.choice(("alpha", "gamma", "window", "server")) for _ in range(20))
+    texts = [f"{prose()} the private signing value is {key()} {prose()}"] * copies
+    texts += [f"{prose()} the private signing value is {key()} {prose()}" for _ in range(others)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    primed = novelty.dictionary(docs)
+    assert not any(re.search("is ([A-Za-z0-9]{40})", t)[1].encode() in primed for t in texts)
+    at = {i: re.search("is ([A-Za-z0-9]{40})", t).span(1) for i, t in enumerate(texts)}
+    found = novelty.scanned(docs, primed).collect()
+    assert len(found) == len(texts) and all(r.spans == f"novel:{at[r.doc_id][0]}:{at[r.doc_id][1]}" for r in found)
+    return primed
+
+
+def test_secrets_of_copies_and_of_small_tables_are_novel(spark):
+    novel_keys(spark, 200, 400)
+    primed = novel_keys(spark, 0, 10)
+    assert b"\nserver\n" in primed and novelty.IDENTIFIERS.encode() in primed
+
+
+def test_words_count_equal_texts_once(spark):
+    texts = ["copied words here"] * 9 + ["other words", "other words two"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert novelty.dictionary(docs).decode().split("\n")[:-1] == ["other", "words"]
+
+
 def test_redaction_of_odd_documents(spark, odd_documents, no_documents):
     rows = odd_documents.withColumn("text", F.when(F.col("doc_id") == 5, F.lit("a token=abcdefghijklmnopqr b 0123456789abcdef0 c")).otherwise(F.col("text")))
     got = novelty.redacted(rows, novelty.dictionary(rows))
