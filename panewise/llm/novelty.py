@@ -1,11 +1,13 @@
 """Secret scans: fixed shapes, and strings that compression primed with ordinary words finds new.
 
 Base spans are the stated patterns of kinds assign, access and hex. The method adds spans of kind
-novel: a run of 20 to 512 characters of [A-Za-z0-9+/_=-] with letters and digits, after a sensitive
+novel: a run of 20 and more characters of [A-Za-z0-9+/_=-] with letters and digits, after a sensitive
 word within 64 characters, whose marginal cost is high: the bytes zstandard needs for context and
-run, less the bytes for the context alone, are at least 0.7 of the run's length. The compressor is
+run, less the bytes for the context alone, are at least 0.7 of the run's length. Runs of more than
+512 are judged in equal pieces of at most that and reported whole if one is new. The compressor is
 primed with code identifiers and the words that most distinct texts of the table hold, never with
-text, and the context is the 256 characters before the run. What base spans cover is not reported again.
+text, and the context is the 256 characters before the run. What base spans cover is not reported
+again; what they leave of a run is judged, and reported in as many spans as it has parts.
 
 Positions are code points, ends exclusive. Texts are scanned whole. Cases: a null text counts as
 empty; null and repeated ids are kept as they are; an empty table gives no rows. Other columns are
@@ -35,7 +37,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|credential|auth|bearer|private|signature", re.IGNORECASE | re.ASCII)
-LEAST_NOVEL, MOST_NOVEL, NEAR, CONTEXT, NEW = 20, 512, 64, 256, 0.7
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+LEAST_NOVEL, PIECE, NEAR, CONTEXT, NEW = 20, 512, 64, 256, 0.7
 #: Whole runs of 4 to 32 lower-case letters, with dashes; those in this many distinct texts are counted
 #: over all documents, and the commonest, up to these bytes, stand before the identifiers.
 WORD = "(?<![A-Za-z0-9+/_=-])[a-z][a-z_-]{3,31}+(?![A-Za-z0-9+/_=-])"
@@ -68,12 +71,34 @@ class Scanner:
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.size = lambda data, z=zstandard.ZstdCompressor(level=6, dict_data=primed): len(z.compress(data))
 
-    def is_new(self, text: str, start: int, end: int) -> bool:
+    def is_new(self, before: str, run: str) -> bool:
+        """Whether a piece of the run is new after the text before it; pieces are of equal length."""
+        known, n = self.size(before.encode()), -(-len(run) // PIECE)
+        cuts = [len(run) * k // n for k in range(n + 1)]
+        return any(self.size((before + run[a:b]).encode()) - known >= NEW * (b - a) for a, b in zip(cuts, cuts[1:]))
+
+    def novel(self, text: str, start: int, end: int, base: list[Span]) -> list[Span]:
+        """What is left of a run outside the base spans, if it is new. A run ends where an assign span
+        begins, as what precedes is part of a name, unless that is a run by itself."""
         before = text[max(0, start - CONTEXT) : start]
         if not SENSITIVE.search(before[-NEAR:]):
-            return False
-        cost = self.size((before + text[start:end]).encode()) - self.size(before.encode())
-        return cost >= NEW * (end - start)
+            return []
+        base = [x for x in base if x[0] < end and start < x[2]]
+        end = min([end, *(max(start, s) for s, k, _ in base if k == 0)])
+        if end - start < LEAST_NOVEL:
+            return []
+        rest, at = [], start
+        for s, _, e in base:
+            if at < min(s, end):
+                rest.append((at, 3, min(s, end)))
+            at = max(at, e)
+        if at < end:
+            rest.append((at, 3, end))
+        run = "".join(text[s:e] for s, _, e in rest)
+        judged = text[start:end] if len(run) >= LEAST_NOVEL else run
+        if not (DIGIT.search(judged) and LETTER.search(judged)):
+            return []
+        return rest if self.is_new(before, run) else []
 
     def base(self, text: str) -> list[Span]:
         """Spans of the assign and access patterns."""
@@ -96,15 +121,15 @@ class Scanner:
             for k, a, b in zip((own := chars.owners(starts, s)).tolist(), (s - starts[own]).tolist(), (e - starts[own]).tolist(), strict=True):
                 found[k].append((a, 2, b))
             s, e = chars.spans(self.run[cp])
-            fit = (e - s >= LEAST_NOVEL) & (e - s <= MOST_NOVEL)
+            fit = e - s >= LEAST_NOVEL
             s, e = s[fit], e[fit]
+            base = [sorted(x) for x in found]
             for a, b in zip(s.tolist(), e.tolist(), strict=True):
                 if not (self.digit[cp[a:b]].any() and self.letter[cp[a:b]].any()):
                     continue
                 k = int(chars.owners(starts, np.array([a]))[0])
                 a, b = a - int(starts[k]), b - int(starts[k])
-                if not any(x < b and a < y for x, _, y in found[k]) and self.is_new(batch[low + k], a, b):
-                    found[k].append((a, 3, b))
+                found[k] += self.novel(batch[low + k], a, b, base[k])
             out += [sorted(x) for x in found]
         return out
 

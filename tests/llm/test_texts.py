@@ -117,6 +117,27 @@ def test_secrets_of_copies_and_of_small_tables_are_novel(spark):
     assert b"\nserver\n" in primed and novelty.IDENTIFIERS.encode() in primed
 
 
+@pytest.mark.parametrize("size", [20, 512, 513, 1600, 100_003])
+def test_novel_strings_of_any_length(size):
+    rnd = random.Random(size)
+    blob = "".join(rnd.choice(string.ascii_letters + string.digits + "+/") for _ in range(size - 2)) + "a1"
+    scan = novelty.Scanner(novelty.IDENTIFIERS.encode()).scan
+    assert [x for x in scan([f"private_key: '{blob}'"])[0] if x[1] == 3] == [(14, 3, 14 + size)]
+    assert scan([f"private_key: '{'xy1' * size}'", f"number: '{blob}'"]) == [[], []]
+
+
+def test_rest_of_a_run_outside_base_spans():
+    scan = novelty.Scanner(novelty.IDENTIFIERS.encode()).scan
+    left, right, inner = "Zq7XwK2mPvR9sTgYhL4n", "QmW8rUzJx5GkTyVpN3oS", "0123456789abcdef"
+    at = len("private value ")
+    assert scan([f"private value {left}{inner}{right}"]) == [[(at, 3, at + 20), (at + 20, 2, at + 36), (at + 36, 3, at + 56)]]
+    assert scan([f"private value Zq7XwK{inner}"]) == [[(at, 3, at + 6), (at + 6, 2, at + 22)]]
+    assert scan([f"private value ID-{inner} {inner}0000"]) == [[(at + 3, 2, at + 19), (at + 20, 2, at + 40)]]
+    assert scan(["private: my_token=Zq7XwK2mPvR9sTgYhL4n"]) == [[(12, 0, 38)]]
+    text = f"private value {left}{inner}{right} end"
+    assert novelty.without(text, scan([text])[0], "") == "private value  end"
+
+
 def test_words_count_equal_texts_once(spark):
     texts = ["copied words here"] * 9 + ["other words", "other words two"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
