@@ -2,9 +2,10 @@
 
 The tokens of a word are itself and its first four, five and six letters. Fitting counts, for each
 token, the labelled documents of either kind that hold it, with an informative Dirichlet prior of
-the tokens' overall shares. A token's log-odds over their standard error tell which are typical of
-toxic documents (`MARKED` standard errors and odds of `LEAST_ODDS` or more); a word carries the highest log-odds of its
-marked tokens, capped, and every other word a small cost. The scan then finds all
+the tokens' overall shares. Typical of toxic documents are tokens of log-odds of `LEAST_ODDS` or more
+whose z, the signed root of the likelihood ratio of the two shares, is `MARKED` or more, and so high
+that not more than one of all tokens is expected to reach it by chance. A word carries the highest
+log-odds of its marked tokens, capped, and every other word a small cost. The scan then finds all
 segments of a text that are maximal and score SIGNIFICANT bits of evidence or more, in one pass:
 a running sum that starts anew when it falls to zero, closed at its highest point when it has
 fallen below that by more than it could gain back.
@@ -35,10 +36,10 @@ from . import chars
 from .common import bounded, kept, texts
 
 ROWS = 15_000
-#: Mass of the prior, in documents; standard errors of a marked word; most marked words kept.
+#: Mass of the prior, in documents; least z of a marked word; most marked words kept.
 PRIOR, MARKED, MOST = 20.0, 4.0, 20_000
-#: A marked token is in so many labelled toxic documents at least, and in this share of them.
-LEAST_DOCS, LEAST_SHARE = 3, 0.01
+#: A marked token is in so many labelled toxic documents at least, however many there are.
+LEAST_DOCS = 3
 CAP, COST, SIGNIFICANT, LEAST_ODDS = 6.0, 0.05, 2.0, 3.0
 KARLIN = 0.1
 PREFIXES = (4, 5, 6)
@@ -157,9 +158,14 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     prior = F.col("n") * PRIOR / (clean + toxic)
     odds = lambda y, total: F.log((y + prior) / (F.lit(total + PRIOR) - y + 1))
     delta = odds(F.col("y"), toxic) - odds(F.col("n") - F.col("y"), clean)
-    error = F.sqrt(1 / (F.col("y") + prior) + 1 / (F.col("n") - F.col("y") + prior))
-    marked = seen.where(F.col("y") >= max(LEAST_DOCS, LEAST_SHARE * toxic)).select("word", delta.alias("delta"), (delta / error).alias("z"))
-    top = marked.where((F.col("z") >= MARKED) & (F.col("delta") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(MOST).collect()
+    seen = kept(seen, "toxic-words")
+    least = max(MARKED, float(np.sqrt(2 * np.log(max(1, seen.count())))))
+    both = clean + toxic
+    cell = lambda k, of, total: F.when(k > 0, k * F.log(k * both / (of * total))).otherwise(0.0)
+    y, n = F.col("y").cast("double"), F.col("n").cast("double")
+    gain = cell(y, n, toxic) + cell(n - y, n, clean) + cell(toxic - y, both - n, toxic) + cell(clean - n + y, both - n, clean)
+    marked = seen.where(F.col("y") >= LEAST_DOCS).select("word", delta.alias("delta"), F.sqrt(F.greatest(2 * gain, F.lit(0.0))).alias("z"))
+    top = marked.where((F.col("z") >= least) & (F.col("delta") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(MOST).collect()
     if not top:
         return none
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)

@@ -212,6 +212,19 @@ def test_quality_of_held_out_documents(spark):
     assert held_out_accuracy(spark, "op8_quality_gam", "quality") > 0.95
 
 
+def test_many_rare_toxic_words(spark):
+    rnd = random.Random(3)
+    name = lambda: "".join(rnd.choice(string.ascii_lowercase) for _ in range(8))
+    common, rare = [name() for _ in range(200)], [name() for _ in range(533)]
+    prose = lambda bad: " ".join(rnd.choice(common) for _ in range(15)) + "".join(f" {w} {rnd.choice(common)}" for w in bad)
+    rows = [(i, prose(rare[(4 * i + k) % 533] for k in range(4)) if i < 2100 else prose(()), int(i < 2100)) for i in range(4200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    held = F.col("doc_id") % 21 == 0
+    model = toxic_segments.fitted(docs, docs.where(~held).select("doc_id", "label"))
+    got = toxic_segments.scored(docs.where(held), model).collect()
+    assert len(got) == 200 and all((r.score >= 0.7) == (r.doc_id < 2100) for r in got)
+
+
 def test_toxicity_of_held_out_documents(spark):
     assert held_out_accuracy(spark, "op9_toxic_segments", "toxic") > 0.93
 
