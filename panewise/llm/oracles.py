@@ -18,6 +18,12 @@ def _shingles(table: str, key: str, lowered: str) -> str:
 _REACH = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 parts AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 
+#: CRC-32 of an ASCII string, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END,
+    xor(c, b)), 4294967295::BIGINT))"""
+_SPACE = r"\x20\x09-\x0D"
+
 ORACLES = {
     "op5_parity_join": f"""
 WITH RECURSIVE s AS (SELECT doc_id, g FROM {_shingles("documents", "doc_id", f"translate(text, {_UPPER})")}),
@@ -44,4 +50,44 @@ n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
 SELECT doc_id, item_id, max(c) AS n_common, n_item, max(c) / n_item AS containment
 FROM (SELECT doc_id, row_no, item_id, count(*) AS c FROM d JOIN i USING (g) GROUP BY ALL) JOIN n USING (item_id)
 WHERE c >= 0.75 * n_item GROUP BY doc_id, item_id, n_item""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, {_CRC.format("k")} % 20 AS kind FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+judged AS (SELECT *, left(role, 1) AS f, CASE WHEN NOT regexp_matches(text, '[^{_SPACE}]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][{_SPACE}]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+ids AS (SELECT conv_id, row_number() OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations)),
+facts AS (SELECT ids.n, ids.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(role) AS rows
+  FROM ids LEFT JOIN judged ON judged.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ALL),
+turns AS (SELECT n, i, role, text, f, fault FROM judged JOIN ids ON judged.conv_id IS NOT DISTINCT FROM ids.conv_id),
+steps(q, f, p) AS (VALUES ('-', 's', 's'), ('-', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+inserts(q, f, p, cost, initials, put) AS (
+  SELECT q, '', q, 0, '', '' FROM (VALUES ('-'), ('s'), ('u'), ('a')) x(q) UNION ALL
+  SELECT q, f, p, 3, 'I', CASE f WHEN 'u' THEN chr(10) || 'user:' ELSE chr(10) || 'assistant:' END FROM steps WHERE f <> 's' UNION ALL
+  SELECT x.q, '', y.p, 6, 'II', CASE x.f WHEN 'u' THEN chr(10) || 'user:' || chr(10) || 'assistant:' ELSE chr(10) || 'assistant:' || chr(10) || 'user:' END
+  FROM steps x JOIN steps y ON x.p = y.q WHERE x.f <> 's' AND y.f <> 's'),
+best(n, i, q, x) AS (
+  SELECT n, 0::BIGINT, '-', {{'c': 0::BIGINT, 'a': '', 'r': ''}} FROM ids UNION ALL
+  SELECT n, i, q, min(x) FROM (
+    SELECT b.n, t.i, e.q, {{'c': (b.x.c + s.cost + e.cost)::BIGINT, 'a': b.x.a || s.initials || e.initial, 'r': b.x.r || s.put || e.put}} AS x
+    FROM best b JOIN turns t ON t.n = b.n AND t.i = b.i + 1 JOIN inserts s ON s.q = b.q, LATERAL (
+      SELECT s.p AS q, 4 AS cost, 'D' AS initial, '' AS put UNION ALL
+      SELECT p, CASE t.fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', chr(10) || t.role || ':' || t.text FROM steps
+        WHERE steps.q = s.p AND steps.f = t.f AND t.fault NOT IN ('blank', 'duplicate') UNION ALL
+      SELECT s.p, CASE t.fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', chr(10) || t.role || ':' || t.text
+        WHERE t.f = '' AND t.fault NOT IN ('blank', 'duplicate') UNION ALL
+      SELECT p, CASE t.fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', chr(10) || CASE f WHEN 'u' THEN 'user:' ELSE 'assistant:' END || t.text
+        FROM steps WHERE steps.q = s.p AND f <> 's' AND t.fault NOT IN ('blank', 'duplicate')) e) GROUP BY n, i, q),
+ends AS (SELECT n, min({{'c': (b.x.c + s.cost)::BIGINT, 'a': b.x.a || s.initials, 'r': b.x.r || s.put}}) AS x
+  FROM best b JOIN facts USING (n) JOIN inserts s ON s.q = b.q WHERE b.i = facts.rows AND s.p IN ('-', 'a') GROUP BY n)
+SELECT conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, x.c AS cost, x.a AS audit, sha256(substr(x.r, 2)) AS repaired_sha256
+FROM facts JOIN ends USING (n)""",
 }

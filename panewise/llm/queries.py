@@ -112,3 +112,10 @@ def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cover_tree import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, repaired
+
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
