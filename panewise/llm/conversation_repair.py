@@ -48,7 +48,7 @@ NEXT = {"s": {START: SYSTEM}, "u": {START: USER, SYSTEM: USER, ASSISTANT: USER},
 #: A mark is 3 * initial + fault.
 INITIALS, OTHER, NONE = "sua", 3, 4
 SOUND, CUT_SHORT, UNWANTED = range(3)
-BLOCKS, LEAST_BLOCK = 32, 32
+BLOCKS, LEAST_BLOCK = 8, 64
 #: Searches of short conversations remembered in a worker.
 REMEMBERED, SHORT = 1 << 16, 64
 NEVER = 1 << 60

@@ -119,3 +119,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversation_repair import damaged, repaired
 
     return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunked_bpe import digests, encoded
+
+    return digests(encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
