@@ -90,4 +90,16 @@ ends AS (SELECT n, min({{'c': (b.x.c + s.cost)::BIGINT, 'a': b.x.a || s.initials
   FROM best b JOIN facts USING (n) JOIN inserts s ON s.q = b.q WHERE b.i = facts.rows AND s.p IN ('-', 'a') GROUP BY n)
 SELECT conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, x.c AS cost, x.a AS audit, sha256(substr(x.r, 2)) AS repaired_sha256
 FROM facts JOIN ends USING (n)""",
+    "op12_zone_negatives": """
+WITH q AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM q a JOIN q b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score) WHERE rank <= 5""",
 }

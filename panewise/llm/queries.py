@@ -126,3 +126,11 @@ def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunked_bpe import digests, encoded
 
     return digests(encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+@query
+def op12_zone_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .zone_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
