@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chars
-from .common import texts
+from .common import lean, texts
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -170,7 +170,7 @@ def scanned(docs: DataFrame, primed: bytes) -> DataFrame:
             cols = [batch.column("doc_id"), *counts[:3], pa.array(sha, pa.string()), pa.array(map(joined, found), pa.string()), counts[3]]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), FOUND)
 
 
 def without(text: str, spans: list[Span], mark: str) -> str:
@@ -199,4 +199,4 @@ def redacted(docs: DataFrame, primed: bytes, mark: str = "[SECRET]") -> DataFram
             cols = [new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from . import chars
 from .bpe import coder
-from .common import texts
+from .common import lean, texts
 
 LENGTH = 1024
 #: Truncation penalties, in tokens of padding.
@@ -184,4 +184,4 @@ def packed(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH, le
                     yield made(False)
         yield made(True)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PIECES)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chars
-from .common import binary, if_few, kept, texts
+from .common import binary, finished, if_few, kept, lean, texts
 from .components import components
 
 WIDTH = 5
@@ -42,8 +42,9 @@ SHARE = 75
 COUNTERS, CHUNK = 1 << 20, 1 << 10
 LEAST_WORDS = 64
 #: Sketch words in one part of the exchange; a part is sorted in memory.
-PART_ENTRIES = 1 << 19
-FLUSH = 1 << 21
+PART_ENTRIES = 1 << 18
+#: Sketch words, and class signatures, that a task holds before it passes them on.
+FLUSH, SEEN = 1 << 18, 1 << 18
 
 FACTS = "doc_id long, text_hash long, n long, sig long, chunk int, counts binary"
 ENTRIES = "part int, keys binary, owners binary"
@@ -141,7 +142,7 @@ def facts(docs: DataFrame) -> DataFrame:
                 names=names,
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, FACTS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(run), FACTS)
 
 
 def ranks(known: DataFrame) -> np.ndarray:
@@ -156,7 +157,7 @@ def ranks(known: DataFrame) -> np.ndarray:
         for c, sums in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), binary([np.minimum(255, 8 * np.log2(1 + sums / 16)).astype(np.uint8).tobytes()])], names=["chunk", "ranks"])
 
-    rows = known.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, ranks binary").collect()
+    rows = known.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(lean(add), "chunk int, ranks binary").collect()
     out = np.zeros(COUNTERS, np.uint8)
     for r in rows:
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["ranks"], np.uint8)
@@ -193,7 +194,7 @@ def sketched(docs: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
                     if n[k] and s not in seen:
                         fresh[k] = True
                         seen.add(s)
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 use = fresh[owner]
                 doc, key = entries_of(owner[use], value[use], np.where(fresh, n, 0), rank)
@@ -206,7 +207,7 @@ def sketched(docs: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.select("text").where("text is not null").mapInArrow(run, ENTRIES)
+    return docs.select("text").where("text is not null").mapInArrow(lean(run), ENTRIES)
 
 
 def met(key: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
@@ -246,7 +247,7 @@ def matched(entries: DataFrame) -> DataFrame:
         if key:
             yield rows(key, own)
 
-    return entries.repartition("part").sortWithinPartitions("part").mapInArrow(run, FOUND)
+    return entries.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), FOUND)
 
 
 def similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     nodes = kept(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "candidate-nodes")
     needed = kept(bodies.join(if_few(nodes), "sig", "left_semi"), "candidate-bodies")
     x, y = (needed.select(F.col("sig").alias(e), F.col("text").alias(t)) for e, t in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").mapInArrow(lean(run), "a long, b long")
 
 
 def bodies_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -299,7 +300,7 @@ def bodies_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
 
     wanted = kept(classes.join(nodes, "sig", "left_semi").select("sig", F.col("doc_id").alias("wanted")), "wanted")
     found = docs.select("doc_id", "text").join(if_few(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")))
-    return found.select("sig", "text").mapInArrow(run, "sig long, text string").dropDuplicates(["sig"])
+    return found.select("sig", "text").mapInArrow(lean(run), "sig long, text string").dropDuplicates(["sig"])
 
 
 def parity_sketches(bodies: DataFrame) -> DataFrame:
@@ -313,7 +314,7 @@ def parity_sketches(bodies: DataFrame) -> DataFrame:
                 odd = np.packbits((np.bincount(bit, minlength=SKETCH_BITS * len(n)) & 1).astype(bool).reshape(len(n), -1), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("sig")[low:high], pa.array(n, pa.int64()), binary([x.tobytes() for x in odd])], names=["node", "n", "sketch"])
 
-    return bodies.select("sig", "text").mapInArrow(run, "node long, n long, sketch binary")
+    return bodies.select("sig", "text").mapInArrow(lean(run), "node long, n long, sketch binary")
 
 
 def may_link(left: tuple, right: tuple, same: bool, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -382,7 +383,7 @@ def between_components(stars: DataFrame, sketches: DataFrame, nearest: bool) ->
             yield pairs(rows)
 
     keys = ["star", "x", "y"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def classes_and_components(docs: DataFrame) -> DataFrame:
@@ -437,7 +438,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of the least id, with its columns. Documents
     without words stay. Of repeated rows of that id the least hash of the text stays, and of equal
     rows one; a component of null ids only keeps the least hash of the text."""
-    rows = kept(classes_and_components(docs), "components")
+    rows = finished(docs.sparkSession, lambda: classes_and_components(docs), "components")
     worded = rows.where("n_shingles > 0").groupBy("component_id")
     first = worded.agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
     first = first.select(F.col("x.doc_id").alias("first_id"), F.col("x.text_hash").alias("first_hash"))
