@@ -9,7 +9,8 @@ Texts are lower-cased, runs of other characters than letters become one blank. P
 every SEGMENT characters, so the segments of many texts step through all automata side by side.
 
 Fitting takes from each language at most DRAWS stretches of DRAW characters, of documents in the
-order of a hash of doc_id, up to TRAIN_CHARS; every text is judged whole.
+order of a hash of doc_id, up to TRAIN_CHARS; every text is judged whole. All letters of these
+stretches are told apart, in any script.
 
 Cases: a null text, or one without a letter, is `und` with score 0; so is every text when nothing
 is labelled. The score is one less the ratio of the best to the second best bits (1 if there is
@@ -20,7 +21,6 @@ null; an empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,12 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chars
-from .common import texts
+from .common import lean, texts
 
 SEGMENT = 256
 TRAIN_CHARS, DRAW, DRAWS = 1 << 15, 512, 128
-#: Letters told apart, and cells of all automata together, which bound the memory.
-LETTERS, CELLS = 250, 1 << 25
+BLOCK_CHARS = 1 << 19
 UNKNOWN = "und"
 PAD, SPACE, OTHER = 0, 1, 2
 
@@ -62,8 +61,8 @@ def sample(docs: DataFrame, usable: Column) -> Sample:
     return tuple((lang, " ".join(p)[:TRAIN_CHARS]) for lang, p in sorted(parts.items()))
 
 
-def automaton(text: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton: rows are states, the first is the root; -1 is none."""
+def automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton by symbol; the first state is the root."""
     step: list[dict[int, int]] = [{}]
     link, size = [-1], [0]
     last = 0
@@ -90,35 +89,76 @@ def automaton(text: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    out = np.full((len(step), width), -1, np.int32)
-    for s, edges in enumerate(step):
-        out[s, list(edges)] = list(edges.values())
-    return out
+    return step
+
+
+class Transitions:
+    """(state, symbol) -> state in an open-addressed table, a quarter full: memory follows the number
+    of transitions, three for each labelled character at most, whatever the alphabet."""
+
+    EMPTY = np.uint64((1 << 64) - 1)
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, key: np.ndarray, to: np.ndarray):
+        bits = max(4, (4 * len(key)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.key = np.full(1 << bits, self.EMPTY)
+        self.to = np.full(1 << bits, -1, np.int32)
+        slot, left = self.slot(key), np.arange(len(key))
+        while len(left):
+            free = left[self.key[slot[left]] == self.EMPTY]
+            at, first = np.unique(slot[free], return_index=True)
+            mine = free[first]
+            self.key[at], self.to[at] = key[mine], to[mine]
+            left = left[self.key[slot[left]] != key[left]]
+            slot[left] = slot[left] + 1 & self.mask
+
+    @staticmethod
+    def keys(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return state.astype(np.uint64) << np.uint64(21) | symbol.astype(np.uint64)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * self.SPREAD >> self.shift).astype(np.int64)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next state of each, -1 without one."""
+        key = self.keys(state, symbol)
+        slot = self.slot(key)
+        seen = self.key[slot]
+        out = np.where(seen == key, self.to[slot], -1)
+        left = np.flatnonzero((seen != key) & (seen != self.EMPTY))
+        while len(left):
+            slot[left] = slot[left] + 1 & self.mask
+            seen = self.key[slot[left]]
+            hit = seen == key[left]
+            out[left[hit]] = self.to[slot[left[hit]]]
+            left = left[~hit & (seen != self.EMPTY)]
+        return out
 
 
 class Parser:
-    """The automata of all languages in one table of transitions; states are row offsets."""
+    """The automata of all languages in one table of transitions, over all letters that occur in the
+    labelled texts; letters that do not are one symbol without a transition."""
 
     def __init__(self, sample: Sample):
         self.labels = [lang for lang, _ in sample]
-        letters = [c for c, _ in Counter("".join(t for _, t in sample)).most_common() if c != " "][:LETTERS]
-        self.symbol = np.where(chars.table("class") == 1, OTHER, SPACE).astype(np.uint8)
+        letters = sorted(set("".join(t for _, t in sample)) - {" "})
+        self.symbol = np.where(chars.table("class") == 1, OTHER, SPACE).astype(np.uint32)
         for k, c in enumerate(letters):
             self.symbol[ord(c)] = k + 3
-        width = len(letters) + 3
-        most = CELLS // (2 * width * max(1, len(sample)))
-        tables, bits, roots, base = [], [], [], 0
+        state, symbol, to, roots, bits, base = [], [], [], [], [], 0
         for _, text in sample:
-            codes = self.symbol[np.array([ord(c) for c in text[:most]], np.int64)].tolist()
-            t = automaton(codes, width)
-            t[:, OTHER] = -1
-            t[:, PAD] = np.arange(len(t))
-            tables.append(np.where(t < 0, -1, (t + base) * width))
-            roots.append(base * width)
+            codes = self.symbol[np.array([ord(c) for c in text], np.int64)].tolist()
+            steps = automaton(codes)
+            for s, edges in enumerate(steps):
+                state += [base + s] * len(edges)
+                symbol += edges
+                to += [base + t for t in edges.values()]
+            roots.append(base)
             bits.append(math.log2(max(2, len(codes))))
-            base += len(t)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.empty(0, np.int32)
-        self.roots, self.bits = np.array(roots, np.int64), np.array(bits)
+            base += len(steps)
+        self.step = Transitions(Transitions.keys(np.array(state, np.int64), np.array(symbol, np.int64)), np.array(to, np.int32))
+        self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
 
     def phrases(self, symbols: np.ndarray) -> np.ndarray:
         """Phrases of each segment (a column of symbols) under each language."""
@@ -127,10 +167,10 @@ class Parser:
         count = np.ones(len(state), np.int32)
         for row in symbols:
             sym = np.tile(row, len(self.roots))
-            to = self.table[state + sym]
+            to = np.where(sym == PAD, state, self.step(state, sym))
             broken = np.flatnonzero(to < 0)
             count[broken] += 1
-            again = self.table[root[broken] + sym[broken]]
+            again = self.step(root[broken], sym[broken])
             to[broken] = np.where(again < 0, root[broken], again)
             state = to
         return count.reshape(len(self.roots), -1)
@@ -138,7 +178,7 @@ class Parser:
     def judge(self, batch: list[str | None]) -> tuple[list[str], np.ndarray]:
         labels, scores = [], np.zeros(len(batch))
         names = np.array([*self.labels, UNKNOWN], object)
-        for low, high, cp, starts in chars.blocks([t.lower() if t else t for t in batch], 1 << 20):
+        for low, high, cp, starts in chars.blocks([t.lower() if t else t for t in batch], BLOCK_CHARS):
             if not self.labels:
                 labels += [UNKNOWN] * (high - low)
                 continue
@@ -154,7 +194,7 @@ class Parser:
             parts = -(-n // SEGMENT)
             first = np.cumsum(parts) - parts
             place = np.arange(len(sym)) - begin[owner]
-            grid = np.zeros((SEGMENT, int(parts.sum())), np.uint8)
+            grid = np.zeros((SEGMENT, int(parts.sum())), np.uint32)
             grid[place % SEGMENT, first[owner] + place // SEGMENT] = sym
             counts = self.phrases(grid)
             of = np.repeat(np.arange(high - low), parts)
@@ -184,7 +224,7 @@ def identified(docs: DataFrame, known: Sample) -> DataFrame:
             labels, scores = judge(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, known: Sample) -> DataFrame:
@@ -196,4 +236,4 @@ def recognised(docs: DataFrame, known: Sample) -> DataFrame:
             labels, _ = judge(texts(batch))
             yield batch.filter(pa.array([x != UNKNOWN for x in labels], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

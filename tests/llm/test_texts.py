@@ -41,6 +41,22 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_languages_of_many_scripts(spark):
+    """Nine invented languages, with syllabaries and thousands of characters among them."""
+    rnd = random.Random(12)
+    letters = {"el": (0x3B1, 24), "ru": (0x430, 32), "ar": (0x627, 28), "hi": (0x905, 48), "ka": (0x10D0, 33), "th": (0xE01, 46), "am": (0x1200, 300), "ko": (0xAC00, 2500), "zh": (0x4E00, 3000)}
+    rows = []
+    for lang, (first, n) in letters.items():
+        known = [c for c in map(chr, range(first, first + n)) if c.isalpha()]
+        words = ["".join(rnd.choices(known, k=rnd.randint(1, 4))) for _ in range(600)]
+        rows += [(len(rows) + k, " ".join(rnd.choices(words, k=60)), lang) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fit = cross_parsing.sample(docs, F.col("doc_id") % 2 == 0)
+    held = cross_parsing.identified(docs.where("doc_id % 2 = 1"), fit).collect()
+    right = {k: lang for k, _, lang in rows}
+    assert sum(r.lang_pred == right[r.doc_id] for r in held) / len(held) > 0.95
+
+
 def test_languages_of_odd_documents(spark, odd_documents, no_documents):
     sample = (("de", "der schnelle braune fuchs springt"), ("en", "mixed case text and one more another text w of id four x"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in cross_parsing.identified(odd_documents, sample).where("doc_id is not null").collect()}
