@@ -245,3 +245,17 @@ def hits(
         assets = assets.where(~is_vendor_bundle(F.col("url")))
     found = hit_array(raw_rules, stripped_rules, literal_gates, locate)
     return hit_rows(assets, found, vendor_skip)
+
+
+def within_literal(offset: Column) -> dict[str, Column]:
+    """Place of a part of a literal that begins at ``offset`` of its value. Escapes make the value
+    shorter than its source; then the part has the literal's own place."""
+    plain = F.length("text") == F.col("stop") - F.col("start") - 2
+    head = F.substr("text", F.lit(1), offset)
+    lines = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
+    col = F.when(lines > 0, F.length(F.substring_index(head, "\n", -1)) + 1).otherwise(F.col("col") + 1 + offset)
+    return {
+        "pos": F.when(plain, F.col("pos") + 1 + offset).otherwise(F.col("pos")),
+        "line": F.when(plain, F.col("line") + lines).otherwise(F.col("line")),
+        "col": F.when(plain, col).otherwise(F.col("col")),
+    }

@@ -9,12 +9,13 @@ from ..functions.predicates import (
     is_hash_like, is_human_text, is_jwt, is_placeholder, is_route_like, is_vendor_bundle,
     jwt_part, looks_random,
 )
-from ..functions.text import contains_any, pinned, rx
+from ..functions.text import contains_any, exploded, let, marked, matches, pinned, rx
 from ..model import SECRET, Options
 from ..rules import secrets as R
 from ..rules.access import JWT_AUTHZ_CLAIMS, PRIVILEGED_ROLES
+from ..tables import local_table
 from .findings import evidence_of, tags_of, to_findings
-from .hits import hits
+from .hits import hits, within_literal
 
 
 def _names_secret(name: Column) -> Column:
@@ -25,32 +26,28 @@ def secret_gate(value: Column, name: Column) -> Column:
     return contains_any(value, R.PROVIDER_HINTS) | ((name != "") & _names_secret(name))
 
 
-def _candidates(hit_rows: DataFrame) -> DataFrame:
-    """What each literal is: the first provider shape in it, a token, or a generic value."""
-    text, name = F.col("text"), F.element_at("groups", 1)
-    provider = F.coalesce(
-        *[
-            F.when(
-                text.rlike(rx(pattern)),
-                F.struct(
-                    F.lit(i).alias("rule_ord"), F.lit(rule_id).alias("kind"),
-                    F.lit(title).alias("title"), F.lit(severity).alias("severity"),
-                    F.regexp_extract(text, rx(pattern), 0).alias("value"),
-                ),
-            )
-            for i, (rule_id, title, pattern, severity) in enumerate(R.PROVIDERS)
-        ]
-    )
-    token = F.regexp_extract(text, rx(R.JWT), 0)
-    jwt = F.when(
-        (token != "") & is_jwt(token),
-        F.struct(
-            F.lit(len(R.PROVIDERS)).alias("rule_ord"), F.lit("jwt").alias("kind"),
-            F.lit("JSON Web Token (JWT)").alias("title"), F.lit("HIGH").alias("severity"),
-            token.alias("value"),
+def _matches(text: Column) -> Column:
+    """array<start, ord, value>: every provider shape and token of a literal, in one pass. Where
+    shapes overlap the one that begins first counts, of those that begin together the first
+    provider's."""
+    shapes = [pattern for _id, _title, pattern, _severity in R.PROVIDERS] + [R.JWT]
+    every = rx("|".join(f"({p})" for p in shapes))
+    return matches(
+        marked(text, every, [f"${i + 1}" for i in range(len(shapes))]),
+        lambda f: F.length(F.array_join(f, "")),
+        lambda start, f: F.struct(
+            start.alias("start"), (F.array_position(F.transform(f, lambda x: x != ""), F.lit(True)) - 1).cast("int").alias("ord"),
+            F.array_join(f, "").alias("value"),
         ),
     )
-    generic = F.when(
+
+
+def _candidates(hit_rows: DataFrame) -> DataFrame:
+    """What each literal holds: all provider shapes and tokens, or else a generic value."""
+    text, name = F.col("text"), F.element_at("groups", 1)
+    token = len(R.PROVIDERS)
+    shaped = F.filter(_matches(text), lambda m: (m["ord"] < token) | is_jwt(m["value"]))
+    generic = (
         _names_secret(name)
         & ~is_vendor_bundle(F.col("url"))
         & ~is_placeholder(text, name)
@@ -59,23 +56,29 @@ def _candidates(hit_rows: DataFrame) -> DataFrame:
         & ~is_human_text(text)
         & ~is_hash_like(text)
         & ~text.rlike(rx(r"[\s(){};]"))
-        & looks_random(text),
-        F.struct(
-            F.lit(len(R.PROVIDERS) + 1).alias("rule_ord"), F.lit("generic").alias("kind"),
-            F.lit(R.GENERIC_TITLE).alias("title"), F.lit("HIGH").alias("severity"),
-            text.alias("value"),
-        ),
+        & looks_random(text)
     )
-    return pinned(
-        hit_rows.where(F.col("rule") == "secret"),
-        name=name, found=F.coalesce(provider, jwt, generic),
-    ).where(F.col("found").isNotNull())
+    whole = F.struct(F.lit(0).alias("start"), F.lit(token + 1).alias("ord"), text.alias("value"))
+    found = let(shaped, lambda ms: F.when(F.size(ms) > 0, ms).when(generic, F.array(whole)))
+    rows = pinned(hit_rows.where(F.col("rule") == "secret"), name=name, all=found)
+    kinds = [(i, *kind) for i, kind in enumerate(
+        [(rule_id, title, severity) for rule_id, title, _pattern, severity in R.PROVIDERS]
+        + [("jwt", "JSON Web Token (JWT)", "HIGH"), ("generic", R.GENERIC_TITLE, "HIGH")]
+    )]
+    table = local_table(rows.sparkSession, ("rule_ord", "shape", "title", "severity"), kinds)
+    keep = [c for c in rows.columns if c != "all"]
+    rows = exploded(rows, keep, F.col("all"), "found").withColumn("rule_ord", F.col("found.ord"))
+    part = F.col("rule_ord") <= token
+    place = {c: F.when(part, x).otherwise(F.col(c)) for c, x in within_literal(F.col("found.start")).items()}
+    same = [c for c in rows.columns if c not in place]
+    rows = rows.select(*same, *[x.alias(c) for c, x in place.items()])
+    return rows.join(F.broadcast(table), "rule_ord")
 
 
 def secret_findings(hit_rows: DataFrame, options: Options = Options()) -> DataFrame:
     now = F.lit(options.as_of) if options.as_of is not None else F.unix_timestamp()
     found = F.col("found")
-    kind = found["kind"]
+    kind = F.col("shape")
     rows = (
         pinned(
             _candidates(hit_rows),
@@ -119,8 +122,7 @@ def secret_findings(hit_rows: DataFrame, options: Options = Options()) -> DataFr
     claims = F.array_join(F.array_sort(F.map_keys("claims_map")), ", ")
     return to_findings(
         rows, "secrets", SECRET,
-        rule_ord=found["rule_ord"], title=found["title"],
-        severity=F.when(is_token & privileged, "CRITICAL").otherwise(found["severity"]),
+        severity=F.when(is_token & privileged, "CRITICAL").otherwise(F.col("severity")),
         confidence=F.when(kind == "generic", "FIRM").otherwise("CONFIRMED"),
         value=found["value"],
         detail=F.when(is_token, token_detail)

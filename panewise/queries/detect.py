@@ -8,6 +8,7 @@ from ..operators import endpoints as ep
 from ..operators import exposure as ex
 from ..operators import headers as hd
 from ..operators import links as lk
+from ..operators import rule_join as rj
 from ..operators import secrets as sc
 from ..operators import technologies as tc
 from ..operators import vulnerabilities as vu
@@ -19,7 +20,7 @@ from ..rules import technologies as tr
 from ..rules import vulns as vr
 from ..rules import words as wr
 from .base import (
-    ASSETS, SCAN, SCAN_TOKENS, VENDOR, Corpus, column, flat, hits, host, in_list, line, path, query, rp,
+    ASSETS, REGIONS, SCAN, SCAN_TOKENS, VENDOR, Corpus, column, flat, hits, host, in_list, line, path, positions, query, rp,
     rule_rows, s, scope, snippet, values,
 )
 from .extract import (
@@ -43,6 +44,12 @@ def _spot(start: str = "(off + start)", stop: str = "(off + stop)") -> str:
             f"{snippet('content', start, stop)} AS snippet")
 
 
+def _part_spot() -> str:
+    """A part of a literal, ``shift`` characters behind its start, with the literal's excerpt."""
+    return (f"{line('content', '(off + start + shift)')} AS line, {column('content', '(off + start + shift)')} AS col, "
+            f"{snippet('content', '(off + start)', '(off + stop)')} AS snippet")
+
+
 def _finding(source: str, detector: int, category: str, title: str, severity: str,
              confidence: str, value: str, detail: str, spot: str, rule_ord: str = "rule_ord",
              region: str = "region_idx", pos: str = "start", url: str = "url",
@@ -92,6 +99,18 @@ def _(c: Corpus):
     return show(vu.misc_vulns(c.scan.assets))
 
 
+_TABLE_RULES = (*vr.MISC_RULES, *er.CALL_RULES)
+
+
+@query("rule_join", REGIONS + f""" SELECT site, asset_seq, region_idx::BIGINT AS region_idx, rule,
+  start::BIGINT AS start, stop::BIGINT AS stop, text, array_to_string(groups, '|') AS groups
+FROM {hits("regions", _TABLE_RULES, _WIDER)}
+WHERE NOT (rule = 'misc_http' AND regexp_matches(groups[1], {s(_NAMESPACES)}))""")
+def _(c: Corpus):
+    rules = rj.rule_rows(c.spark, _TABLE_RULES)
+    return flat(rj.rule_hits(c.regions, rules, ("site", "asset_seq", "region_idx")))
+
+
 @finding_query("xss_sinks", _finding(
     f"""(SELECT *, regexp_extract(text || left(tail, 200), {rp(vr.XSS_TAINT)}) AS taint
          FROM {hits("stripped", vr.XSS_RULES, _WIDER)} h JOIN {_details(vr.XSS_RULES)} USING (rule)
@@ -116,11 +135,16 @@ def _(c: Corpus):
     return show(vu.orm_usage(c.scan.assets))
 
 
-def _verb(verb: str, pattern: str, group: int) -> str:
-    if not group:
-        return f"WHEN regexp_matches(text, {rp(pattern)}) THEN '{verb}|'"
-    target = f"regexp_replace(regexp_extract(text, {rp(pattern)}, {group}), {rp(vr.SQL_TARGET_NOISE)}, '', 'g')"
-    return (f"WHEN regexp_matches({target}, {rp(vr.SQL_VALID_TABLE)}) AND "
+def _verb(verb: str, head: str, follows: str) -> str:
+    """A statement's verb and target: the rest after a head is what stands behind its first place."""
+    if verb == "UNION":
+        return f"WHEN regexp_matches(body, {rp(head)}) THEN 'UNION|'"
+    inner = head.removeprefix("(?i)").replace("(" + vr._IDENT + ")", "(?:" + vr._IDENT + ")")
+    rest = f"regexp_extract(body, {rp('(?is)' + inner + '(.*)$')}, 1)"
+    named = f"regexp_extract(body, {rp(head)}, 1)" if verb != "SELECT" else f"regexp_extract({rest}, {rp(follows)}, 1)"
+    target = f"regexp_replace({named}, {rp(vr.SQL_TARGET_NOISE)}, '', 'g')"
+    after = f"AND regexp_matches({rest}, {rp(follows)}) " if follows and verb != "SELECT" else ""
+    return (f"WHEN regexp_matches({target}, {rp(vr.SQL_VALID_TABLE)}) {after}AND "
             f"lower(split_part({target}, '.', 1)) NOT IN {in_list(vr.SQL_STOPWORD_TARGETS)} "
             f"THEN '{verb}|' || {target}")
 
@@ -135,14 +159,28 @@ _LITERALS = (
     "(SELECT *, start + length(raw) AS stop, value AS text, "
     "left(raw, 1) = '`' AND contains(raw, '${') AS interpolated FROM literals)"
 )
-_SQL_ROWS = f"""(SELECT *, interp <> '' OR interpolated AS injected FROM (
-  SELECT *, regexp_extract(text, {rp(vr.SQL_INTERPOLATION)}) AS interp,
-    CASE {" ".join(_verb(*x) for x in vr.SQL_STATEMENTS)} END AS stmt
-  FROM {_LITERALS}
-  WHERE length(text) BETWEEN 14 AND 4000 AND NOT {VENDOR}
-    AND regexp_matches(upper(text), 'SELECT|INSERT|UPDATE|DELETE|DROP|TRUNCATE|UNION')
-    AND regexp_matches(text, {rp(vr.SQL_CORROBORATION)}))
-  WHERE stmt IS NOT NULL AND NOT {_HTML} AND NOT {_PROSE})"""
+#: Semicolons outside quotes end a statement: pieces between semicolons, those that begin inside a
+#: string joined to the one before.
+_SQL_LITERALS = f"""(SELECT *, row_number() OVER (ORDER BY site, asset_seq, region_idx, start) AS lit FROM {_LITERALS}
+  WHERE NOT {VENDOR} AND regexp_matches(upper(text), 'SELECT|INSERT|UPDATE|DELETE|DROP|TRUNCATE|UNION')
+    AND regexp_matches(text, {rp(vr.SQL_CORROBORATION)}) AND NOT {_HTML} AND NOT {_PROSE})"""
+_STATEMENTS = f"""(SELECT lit, min(bgn) AS bgn, string_agg(piece, ';' ORDER BY k) AS body FROM (
+  SELECT *, sum(CASE WHEN quotes % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY lit ORDER BY k) AS n FROM (
+    SELECT lit, k, piece, coalesce(sum(length(piece) - length(replace(piece, chr(39), ''))) OVER before, 0) AS quotes,
+      coalesce(sum(length(piece) + 1) OVER before, 0) AS bgn
+    FROM (SELECT lit, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k
+          FROM (SELECT lit, string_split(text, ';') AS ps FROM {_SQL_LITERALS}))
+    WINDOW before AS (PARTITION BY lit ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+  GROUP BY lit, n)"""
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(13)"
+_SQL_ROWS = f"""(SELECT *, interp <> '' OR (interpolated AND contains(text, '${{')) AS injected FROM (
+  SELECT * EXCLUDE (text), regexp_extract(CASE WHEN several THEN trim(body, {_BLANKS}) ELSE text END, {rp(vr.SQL_INTERPOLATION)}) AS interp,
+    CASE WHEN several THEN trim(body, {_BLANKS}) ELSE text END AS text,
+    CASE WHEN several AND length(text) = stop - start - 2
+      THEN (1 + bgn + length(body) - length(ltrim(body, {_BLANKS})))::BIGINT ELSE 0 END AS shift
+  FROM (SELECT *, count(*) OVER (PARTITION BY lit) > 1 AS several FROM (
+    SELECT *, CASE {" ".join(_verb(*x) for x in vr.SQL_STATEMENTS)} END AS stmt
+    FROM {_SQL_LITERALS} JOIN {_STATEMENTS} USING (lit)) WHERE stmt IS NOT NULL)))"""
 
 
 @finding_query("sql_statements", _finding(
@@ -151,13 +189,13 @@ _SQL_ROWS = f"""(SELECT *, interp <> '' OR interpolated AS injected FROM (
     "CASE WHEN injected THEN 'CRITICAL' ELSE 'HIGH' END", "'FIRM'",
     "trim(regexp_replace(text, '\\s+', ' ', 'g'))",
     f"CASE WHEN injected THEN {s(vr.SQL_INJECTION[2])} ELSE {s(vr.SQL_RAW[2])} END",
-    _spot(), rule_ord="0"))
+    _part_spot(), rule_ord="0", pos="start + shift"))
 def _(c: Corpus):
     return show(vu.sql_statements(c.scan.assets))
 
 
 @query("sql_evidence", SCAN_TOKENS + f"""
-SELECT site, asset_seq, start::BIGINT AS pos, split_part(stmt, '|', 1) AS statement,
+SELECT site, asset_seq, (start + shift)::BIGINT AS pos, split_part(stmt, '|', 1) AS statement,
   coalesce(nullif(split_part(stmt, '|', 2), ''), '-') AS target, text AS query,
   nullif(interp, '') AS interpolation FROM {_SQL_ROWS}""")
 def _(c: Corpus):
@@ -281,11 +319,11 @@ def _(c: Corpus):
 
 # ---- secrets ---------------------------------------------------------------------------
 
-_LIT = _LITERALS
-_PROVIDER = " ".join(
-    f"WHEN regexp_matches(text, {rp(p)}) THEN {i}" for i, (_i, _t, p, _s) in enumerate(sr.PROVIDERS))
-_PROVIDER_VALUE = " ".join(
-    f"WHEN {i} THEN regexp_extract(text, {rp(p)})" for i, (_i, _t, p, _s) in enumerate(sr.PROVIDERS))
+_LIT = f"(SELECT *, row_number() OVER (ORDER BY site, asset_seq, region_idx, start) AS lit FROM {_LITERALS})"
+_SHAPES = [p for _i, _t, p, _s in sr.PROVIDERS] + [sr.JWT]
+#: All shapes of a literal from left to right; a match is the first provider's that it is whole.
+_SHAPED = positions(_LIT, "text", "|".join(f"(?:{p})" for p in _SHAPES), r"\0", "length(f[1])", "lit, text")
+_KIND = " ".join(f"WHEN regexp_full_match(val, {rp(p)}) THEN {i}" for i, p in enumerate(_SHAPES))
 _PROVIDER_ROWS = values(
     (i, rid, title, sev) for i, (rid, title, _p, sev) in enumerate(sr.PROVIDERS))
 _GENERIC = (
@@ -302,20 +340,22 @@ _GENERIC = (
       "log2((length(text) - length(replace(text, ch, ''))) / length(text)::DOUBLE))) >= 3.0)"
 )
 _JWT_JSON = "decode(from_base64(translate({seg}, '-_', '+/') || repeat('=', ((4 - length({seg}) % 4) % 4)::BIGINT)))"
-_HEADER = _JWT_JSON.format(seg="split_part(token, '.', 1)")
-_PAYLOAD = _JWT_JSON.format(seg="split_part(token, '.', 2)")
+_HEADER = _JWT_JSON.format(seg="split_part(val, '.', 1)")
+_PAYLOAD = _JWT_JSON.format(seg="split_part(val, '.', 2)")
 _CLAIMS = in_list(ar.JWT_AUTHZ_CLAIMS)
-_SECRET_ROWS = f"""(SELECT *, CASE WHEN pix IS NOT NULL THEN pix WHEN is_jwt THEN {len(sr.PROVIDERS)}
-      WHEN generic THEN {len(sr.PROVIDERS) + 1} END AS rule_ord,
-    CASE pix {_PROVIDER_VALUE} ELSE CASE WHEN is_jwt THEN token ELSE text END END AS val,
-    CASE WHEN is_jwt THEN list_sort(list_filter(json_keys(payload), lambda k: k IN {_CLAIMS})) END AS authz
-  FROM (SELECT *, CASE WHEN json_valid(head) AND json_valid(payload) THEN
-          coalesce(json_type(head) = 'OBJECT' AND json_type(payload) = 'OBJECT'
-          AND (json_exists(head, '$.alg') OR json_exists(head, '$.typ')), false) ELSE false END AS is_jwt
-    FROM (SELECT *, CASE WHEN token <> '' THEN {_HEADER} END AS head, CASE WHEN token <> '' THEN {_PAYLOAD} END AS payload
-      FROM (SELECT *, CASE {_PROVIDER} END AS pix, regexp_extract(text, {rp(sr.JWT)}) AS token,
-              {_GENERIC} AS generic FROM {_LIT})))
-  WHERE pix IS NOT NULL OR is_jwt OR generic)"""
+_SHAPE_ROWS = f"""(SELECT lit, bgn, val, rule_ord, payload,
+    CASE WHEN rule_ord = {len(sr.PROVIDERS)} THEN list_sort(list_filter(json_keys(payload), lambda k: k IN {_CLAIMS})) END AS authz
+  FROM (SELECT *, CASE WHEN rule_ord = {len(sr.PROVIDERS)} THEN {_HEADER} END AS head,
+      CASE WHEN rule_ord = {len(sr.PROVIDERS)} THEN {_PAYLOAD} END AS payload
+    FROM (SELECT *, CASE {_KIND} END AS rule_ord FROM (SELECT lit, start AS bgn, f[1] AS val FROM {_SHAPED})))
+  WHERE rule_ord < {len(sr.PROVIDERS)} OR (CASE WHEN json_valid(head) AND json_valid(payload) THEN
+    coalesce(json_type(head) = 'OBJECT' AND json_type(payload) = 'OBJECT'
+      AND (json_exists(head, '$.alg') OR json_exists(head, '$.typ')), false) ELSE false END))"""
+_SECRET_ROWS = f"""(SELECT l.*, rule_ord, val, payload, authz,
+    CASE WHEN length(text) = stop - start - 2 THEN 1 + bgn ELSE 0 END AS shift
+  FROM {_LIT} l JOIN {_SHAPE_ROWS} USING (lit)
+  UNION ALL SELECT *, {len(sr.PROVIDERS) + 1}, text, NULL, NULL, 0 FROM {_LIT}
+  WHERE {_GENERIC} AND lit NOT IN (SELECT lit FROM {_SHAPE_ROWS}))"""
 _JWT_PRIV = "regexp_matches(json_extract_string(payload, '$.role'), '^(admin|root|owner)$')"
 _SECRETS = _finding(
     f"(SELECT * FROM {_SECRET_ROWS} x LEFT JOIN (VALUES {_PROVIDER_ROWS}) AS pr(p, pid, ptitle, psev) ON p = rule_ord)",
@@ -329,7 +369,7 @@ _SECRETS = _finding(
     f"|| CASE WHEN {_JWT_PRIV} THEN ' One of them is privileged.' ELSE '' END "
     f"|| CASE WHEN json_exists(payload, '$.exp') THEN CASE WHEN CAST(json_extract_string(payload, '$.exp') AS DOUBLE) "
     f">= epoch(now()) THEN ' It has not run out.' ELSE ' It has run out.' END ELSE '' END "
-    f"WHEN {len(sr.PROVIDERS) + 1} THEN {s(sr.GENERIC_DETAIL)} ELSE {s(sr.PROVIDER_DETAIL)} END", _spot())
+    f"WHEN {len(sr.PROVIDERS) + 1} THEN {s(sr.GENERIC_DETAIL)} ELSE {s(sr.PROVIDER_DETAIL)} END", _part_spot(), pos="start + shift")
 FINDING_SQL["secrets"] = _SECRETS
 
 

@@ -3,7 +3,7 @@ providers' public documentation and are this package's own choice."""
 
 from __future__ import annotations
 
-# (id, title, pattern, severity), first match in a literal wins.
+# (id, title, pattern, severity); of shapes that begin at one place the first counts.
 PROVIDERS = (
     ("aws", "AWS Access Key ID", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "CRITICAL"),
     ("stripe_secret", "Stripe Secret Key", r"\b(?:sk|rk)_live_[0-9A-Za-z]{16,}", "CRITICAL"),
