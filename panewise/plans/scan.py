@@ -8,7 +8,7 @@ for.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
@@ -55,6 +55,18 @@ def select_detectors(
     return tuple(n for n in DETECTORS if n not in asked)
 
 
+def site_findings(
+    detectors: Iterable[str], technologies: DataFrame | None, endpoints: DataFrame | None, mains: DataFrame
+) -> list[DataFrame]:
+    """Findings that need a whole site's merged tables."""
+    parts = []
+    if "technology" in detectors:
+        parts += [tc.outdated_components(technologies, mains), tc.wordpress_summary(technologies, mains)]
+    if "endpoints" in detectors:
+        parts.append(rs.backend_summary(endpoints))
+    return parts
+
+
 @dataclass
 class Scan:
     captures: DataFrame
@@ -62,6 +74,8 @@ class Scan:
     options: Options = field(default_factory=Options)
     #: folder for intermediate tables; None makes one below the shared checkpoint folder
     work_dir: str | None = None
+    #: a user's own detectors: each takes the scan and returns findings
+    extra: tuple[Callable[[Scan], DataFrame], ...] = ()
 
     def _keep(self, name: str, table: DataFrame) -> DataFrame:
         """Compute an intermediate table once, as a written table, for all its readers."""
@@ -160,16 +174,11 @@ class Scan:
         return self.captures.select("site").distinct()
 
     @cached_property
-    def asset_findings(self) -> DataFrame:
-        """Findings before merging."""
+    def page_findings(self) -> DataFrame:
+        """Findings that one capture gives by itself, before merging."""
         on, parts = set(self.detectors), []
         if "technology" in on:
-            mains = main_documents(self.facts)
-            parts += [
-                tc.version_disclosures(self.facts), tc.next_data_findings(self.facts),
-                tc.outdated_components(self.technologies, mains),
-                tc.wordpress_summary(self.technologies, mains),
-            ]
+            parts += [tc.version_disclosures(self.facts), tc.next_data_findings(self.facts)]
         if "secrets" in on:
             parts.append(sc.secret_findings(self.hits, self.options))
         if "sql" in on:
@@ -183,12 +192,20 @@ class Scan:
                 acc.role_findings(self.hits), acc.check_findings(self.hits),
                 acc.bypass_findings(self.hits), acc.idor_findings(self.hits),
             ]
-        if "endpoints" in on:
-            parts.append(rs.backend_summary(self.endpoints))
         if "headers" in on:
             parts.append(hd.header_findings(self.facts))
         parts += [ex.sourcemap_exposure(self.admitted), ex.exposed_paths(self.captures)]
-        return self._keep("asset_findings", reduce(DataFrame.unionByName, parts))
+        parts += [detector(self) for detector in self.extra]
+        return reduce(DataFrame.unionByName, parts)
+
+    @cached_property
+    def asset_findings(self) -> DataFrame:
+        """Findings before merging."""
+        of_site = site_findings(
+            self.detectors, self.technologies if "technology" in self.detectors else None,
+            self.endpoints if "endpoints" in self.detectors else None, main_documents(self.facts),
+        )
+        return self._keep("asset_findings", reduce(DataFrame.unionByName, [self.page_findings, *of_site]))
 
     @cached_property
     def findings(self) -> DataFrame:

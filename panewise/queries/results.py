@@ -13,7 +13,7 @@ from ..plans import reports as rp_
 from ..plans.scan import select_detectors
 from ..rules import endpoints as er
 from ..session import work_folder
-from ..streaming.scan import read_capture_stream, stream_scan
+from ..streaming.scan import SiteTables, read_capture_stream, stream_scan
 from .base import ASSETS, SCAN, Corpus, flat, host, query, root, scope
 from .detect import (
     _RSCAN, ENV_SQL, EXPO, FINDING_SQL, MERGED_SQL, RECORDED_SQL, SERVICES_SQL, SPA_SQL, TABLES_SQL, WS_SQL,
@@ -328,15 +328,44 @@ def _(c: Corpus):
 # ---- stream ----------------------------------------------------------------------------
 
 
-@query("stream_scan")
+
+
+def _streamed(c: Corpus) -> SiteTables:
+    """Captures arrive as files, in three batches or more; once for all queries of a corpus."""
+    if "streamed" not in c.__dict__:
+        folder = work_folder(c.spark, "stream")
+        arrival = F.expr("timestamp_seconds(1704067200 + asset_seq)")
+        files = c.captures.withColumn("fetched_at", arrival)
+        files.write.parquet(f"{folder}/in")
+        per_batch = max(1, -(-len(c.spark.read.parquet(f"{folder}/in").inputFiles()) // 3))
+        tables = SiteTables(c.spark, f"{folder}/tables")
+        # the files are in no order of arrival, so nothing may count as late
+        stream = read_capture_stream(c.spark, f"{folder}/in", per_batch)
+        stream_scan(stream, tables, f"{folder}/checkpoint", lateness="3650 days").awaitTermination()
+        c.__dict__["streamed"] = tables
+    return c.__dict__["streamed"]
+
+
+@query("stream_scan", ALL + "SELECT site, category, title, severity, confidence, value, mentions FROM findings")
+def _(c: Corpus):
+    return flat(_streamed(c).findings.select("site", "category", "title", "severity", "confidence", "value", "mentions"))
+
+
+@query("stream_technologies", SCAN + " " + MERGED_SQL)
+def _(c: Corpus):
+    return _streamed(c).technologies
+
+
+@query("stream_services", SCAN + f" SELECT site, category, name, host FROM ({SERVICES_SQL})")
+def _(c: Corpus):
+    return _streamed(c).services.select("site", "category", "name", "host")
+
+
+@query("stream_endpoints", EP + f" SELECT {_EP_COLUMNS} FROM endpoints")
+def _(c: Corpus):
+    return _ep(_streamed(c).endpoints)
+
+
+@query("stream_urls", EP + " SELECT site, url, scope FROM site_urls")
 def _(c: Corpus):
-    """Captures arrive as files; the findings of all batches are merged at the end."""
-    folder = work_folder(c.spark, "stream")
-    arrival = F.expr("timestamp_seconds(1704067200 + asset_seq)")
-    c.captures.withColumn("fetched_at", arrival).write.parquet(f"{folder}/in")
-    stream_scan(
-        read_capture_stream(c.spark, f"{folder}/in"), f"{folder}/findings", f"{folder}/checkpoint"
-    ).awaitTermination()
-    found = c.spark.read.parquet(f"{folder}/findings")
-    return flat(rs.dedupe_findings(found.drop("batch")).select(
-        "site", "category", "title", "severity", "confidence", "value", "mentions"))
+    return _streamed(c).urls.select("site", "url", "scope")

@@ -57,13 +57,17 @@ def classify_kind(url: Column, content_type: Column, content: Column) -> Column:
     )
 
 
-def scan_responses(captures: DataFrame) -> DataFrame:
-    """Admit responses: textual, with a body, status below 400. A narrow step."""
-    admitted = captures.where(
+def is_admitted() -> Column:
+    return (
         is_textual(F.col("content_type"))
         & (F.coalesce(F.length("content"), F.lit(0)) > 0)
         & (F.col("status") < 400)
-    ).withColumn("content", clean_marks(F.col("content")))
+    )
+
+
+def scan_responses(captures: DataFrame) -> DataFrame:
+    """Admit responses: textual, with a body, status below 400. A narrow step."""
+    admitted = captures.where(is_admitted()).withColumn("content", clean_marks(F.col("content")))
     return admitted.withColumn(
         "kind", classify_kind(F.col("url"), F.col("content_type"), F.col("content"))
     )
