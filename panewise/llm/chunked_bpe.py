@@ -25,9 +25,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chars
-from .common import texts
+from .common import lean, texts
 
 #: Characters under the rolling hash; one place in MEAN is a cut; the sizes that a chunk may have.
 WINDOW, MEAN, LEAST, MOST = 16, 384, 64, 2048
 #: How far a contraction looks, and the first stretch into the right chunk.
 LOOK, STRETCH = 3, 24
-#: Bounds of a worker's memory: characters in remembered chunks, remembered words, their length.
-CHUNK_CHARS, WORDS, WORD_CHARS = 1 << 23, 1 << 18, 64
+#: Bounds of a worker's memory: characters in remembered chunks, words in each of the two tables
+#: of remembered ones, their length.
+CHUNK_CHARS, WORDS, WORD_CHARS = 1 << 22, 1 << 18, 64
 #: Places hashed at a time, and ids in a batch; words whose places are noted from the end.
 STEP, LAST = 1 << 18, 6
 
@@ -97,27 +98,29 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoded:
-    """A stretch's words: the ids of each, and where they begin, which is looked up when asked for.
-    All characters but white space are in words. A word that begins within a character, as lower
-    case can be longer, counts with the word before."""
+    """A stretch's words: the packed ids of each, and where they begin, which is looked up when asked
+    for. All characters but white space are in words. A word that begins within a character, as
+    lower case can be longer, counts with the word before."""
 
     __slots__ = ("begins", "ids", "known", "last", "text")
 
-    def __init__(self, text: str, ids: list[tuple[int, ...]], known: list[int] | None = None, last: list[int] | None = None):
+    def __init__(self, text: str, ids: list[bytes], known: list[int] | None = None, last: list[int] | None = None):
         self.text, self.ids = text, ids
         self.known: list[int] = known or []
         self.last = last or []
-        self.begins = None if known is not None else WORD.finditer(text.lower())
+        self.begins: Iterator[re.Match] | None = None
 
     def begin(self, k: int) -> int:
         if k >= len(self.ids) - len(self.last):
             return self.last[len(self.ids) - 1 - k]
+        if self.begins is None:
+            self.begins = WORD.finditer(self.text.lower())
         while len(self.known) <= k:
             self.known.append(next(self.begins).start())
         return self.known[k]
 
-    def words(self, low: int, high: int | None = None) -> Iterator[int]:
-        return chain.from_iterable(self.ids[low:high])
+    def words(self, low: int, high: int | None = None) -> bytes:
+        return b"".join(self.ids[low:high])
 
 
 @cache
@@ -143,14 +146,26 @@ class ChunkCoder:
         rest = iter(range(256, 512))
         self.stand = {b: chr(b if b in shown else next(rest)) for b in range(256)}
         self.names = [self.library.id_to_token(k) or "" for k in range(self.library.get_vocab_size())]
-        self.word_ids: dict[str, tuple[int, ...]] = {}
+        self.kind = np.dtype("<u2" if len(self.names) <= 1 << 16 else "<u4")
+        self.word_ids: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.chunks: dict[str, Encoded] = {}
         self.held = self.encoded = 0
 
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self.stand)))
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.kind.char, ids).tobytes()
+
+    def ids(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, self.kind)
+
+    def word(self, word: str) -> bytes:
+        """The ids of a word that is not among the latest: remembered from before them, or new."""
+        ids = self.earlier.get(word)
+        if ids is None:
+            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.stand)
+            ids = self.packed([t.id for t in self.library.model.tokenize(shown)])
         if len(self.word_ids) >= WORDS:
-            self.word_ids.clear()
+            self.earlier, self.word_ids = self.word_ids, {}
         if len(word) <= WORD_CHARS:
             self.word_ids[word] = ids
         return ids
@@ -159,12 +174,13 @@ class ChunkCoder:
         """The ids of a text by itself."""
         self.encoded += len(text)
         if PLAIN.fullmatch(text):
-            known, word, low, last = self.word_ids.get, self.word, text.lower(), []
+            word, low, last = self.word, text.lower(), []
             words = WORD.findall(low)
             at = len(low)
             for w in words[:-LAST:-1]:
                 at = low.rindex(w, 0, at)
                 last.append(at)
+            known = self.word_ids.get
             return Encoded(text, [known(w) or word(w) for w in words], last=last)
         got = self.library.encode(text, add_special_tokens=False)
         begin, first, now, end = [], [], None, 0
@@ -174,7 +190,7 @@ class ChunkCoder:
                 first.append(k)
             now, end = w, after
         ids = got.ids
-        return Encoded(text, [tuple(ids[a:b]) for a, b in zip(first, [*first[1:], len(ids)], strict=True)], begin)
+        return Encoded(text, [self.packed(ids[a:b]) for a, b in zip(first, [*first[1:], len(ids)], strict=True)], begin)
 
     def chunk(self, text: str) -> Encoded:
         found = self.chunks.get(text)
@@ -186,12 +202,12 @@ class ChunkCoder:
             self.held += len(text)
         return found
 
-    def joined(self, parts: list[str]) -> list[int]:
-        """The ids of the parts' whole text. left is right from its word number done on, but for
+    def joined(self, parts: list[str]) -> bytes:
+        """The packed ids of the parts' whole text. left is right from its word number done on, but for
         what later characters may change; out holds the ids of everything before that word."""
         if not parts:
-            return []
-        out: list[int] = []
+            return b""
+        out: list[bytes] = []
         left, done, k, together = self.chunk(parts[0]), 0, 1, 1
         while k < len(parts):
             part = "".join(parts[k : k + together])
@@ -199,13 +215,12 @@ class ChunkCoder:
             k += together
             back, at = self.back(left, done)
             tail = left.text[at:]
-            out += left.words(done, back)
+            out += left.ids[done:back]
             width, meets = max(STRETCH, len(tail)), None
             while meets is None:
                 new = self.stretch(tail + part[:width])
                 if width >= len(part) and k >= len(parts):
-                    out += new.words(0)
-                    return out
+                    return b"".join(out) + new.words(0)
                 meets = self.agreed(new, right, len(tail))
                 if meets is None and width >= len(part):
                     break
@@ -213,10 +228,9 @@ class ChunkCoder:
             if meets is None:
                 left, done, together = new, 0, 2 * together
             else:
-                out += new.words(0, meets[0])
+                out += new.ids[: meets[0]]
                 left, done, together = right, meets[1], 1
-        out += left.words(done)
-        return out
+        return b"".join(out) + left.words(done)
 
     def back(self, left: Encoded, done: int) -> tuple[int, int]:
         """The last word, done at the earliest, that begins where no later character can change it,
@@ -253,12 +267,11 @@ class ChunkCoder:
             theirs = mine
         return None
 
-    def encode(self, text: str) -> list[int]:
-        """The library's ids of a text."""
-        out, at = [], 0
+    def encode(self, text: str) -> bytes:
+        """The library's ids of a text, packed."""
+        out, at = b"", 0
         for m in self.special.finditer(text):
-            out += self.joined(pieces(text[at : m.start()]))
-            out.append(self.library.token_to_id(m[0]))
+            out += self.joined(pieces(text[at : m.start()])) + self.packed([self.library.token_to_id(m[0])])
             at = m.end()
         return out + self.joined(pieces(text[at:]))
 
@@ -267,12 +280,6 @@ class ChunkCoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-def id_lists(lists: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, lists)])
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded of every row of (doc_id, text): the library's ids and what they
     decode to.
@@ -288,15 +295,17 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             rows = texts(batch)
             at = 0
             while at < len(rows):
-                low, lists, size = at, [], 0
+                low, ids, size = at, [], 0
                 while at < len(rows) and size < STEP:
-                    lists.append(bpe.encode(rows[at] or ""))
-                    size += len(lists[-1])
+                    ids.append(bpe.ids(bpe.encode(rows[at] or "")))
+                    size += len(ids[-1])
                     at += 1
-                shown = pa.array(map(bpe.decode, lists), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:at], id_lists(lists), shown], names=["doc_id", "ids", "decoded"])
+                shown = pa.array((bpe.decode(x.tolist()) for x in ids), pa.string())
+                ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:at], lists, shown], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, IDS.format(id=dict(docs.dtypes)["doc_id"]))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), IDS.format(id=dict(docs.dtypes)["doc_id"]))
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -309,7 +318,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), shown], names=["doc_id", "ids", "decoded"])
 
     ids = F.col("ids").cast("array<int>")
-    return rows.select("doc_id", ids.alias("ids")).mapInArrow(run, IDS.format(id=dict(rows.dtypes)["doc_id"]))
+    return rows.select("doc_id", ids.alias("ids")).mapInArrow(lean(run), IDS.format(id=dict(rows.dtypes)["doc_id"]))
 
 
 def digests(rows: DataFrame) -> DataFrame:

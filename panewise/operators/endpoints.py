@@ -95,7 +95,7 @@ def recorded_urls(assets: DataFrame) -> DataFrame:
     """Cleaned URL mentions, with their order columns."""
     both = absolute_urls(assets).unionByName(protocol_relative_urls(assets))
     return pinned(both.withColumnRenamed("url", "found"), url=clean_url(F.col("found"))).where(
-        (F.col("url") != "") & (F.length("url") <= 500)
+        F.col("url") != ""
     )
 
 
@@ -129,21 +129,18 @@ def emails(assets: DataFrame) -> DataFrame:
 
 def literal_path_gate(value: Column, name: Column) -> Column:
     v = strip(value)
-    return v.startswith("/") & (F.length(v) <= 200) & is_api_path(v)
+    return v.startswith("/") & is_api_path(v)
 
 
 def route_constant_gate(value: Column, name: Column) -> Column:
     """A lower-case multi-part route assigned to a name; not a type, file or style token."""
     v = strip(value)
-    slashes = F.length(v) - F.length(F.replace(v, F.lit("/"), F.lit("")))
     return (
         (name != "")
         & v.contains("/")
         & ~v.startswith("/")
-        & (F.length(v) <= 200)
         & is_route_like(v)
         & ~is_mime_type(v)
-        & (slashes <= 4)
         & ~F.substring_index(v, "/", -1).contains(".")
         & ~F.substring_index(v, "/", 1).contains(".")
         & ~F.exists(F.split(v, "/"), lambda s: s.rlike(rx(r"^\d+$")))
@@ -165,7 +162,7 @@ def record_calls(calls: DataFrame) -> DataFrame:
         .when(raw.startswith("/"), resolve_api_path(F.col("source"), F.col("base_url"), raw))
     )
     rows = pinned(
-        calls.where((raw != "") & (F.length(raw) <= 400) & ~skip), url=clean_url(absolute)
+        calls.where((raw != "") & ~skip), url=clean_url(absolute)
     ).where((F.col("url") != "") & ~has_static_extension(F.col("url")))
     return _endpoint(
         rows, 3, 0, endpoint_kind=endpoint_kind(F.col("url"))
@@ -231,7 +228,6 @@ def route_tables(constants: DataFrame) -> DataFrame:
 def spa_route_rows(hit_rows: DataFrame) -> DataFrame:
     rows = (
         hit_rows.where("rule = 'ep_route'")
-        .where(F.length(_group(0)) <= 160)
         .select(
             *_BASE, F.col("url").alias("source"), "region_idx", "pos",
             join_url(F.col("base_url"), _group(0)).alias("url"),

@@ -411,13 +411,12 @@ MENTIONS_SQL = f"""SELECT site, base_url, asset_seq, url AS source, region_idx::
 _V = "trim(value, chr(32) || chr(9) || chr(10) || chr(13))"
 LITERAL_PATHS_SQL = f"""SELECT site, base_url, asset_seq, url AS source, region_idx::BIGINT AS region_idx,
     start::BIGINT AS pos, 2 AS op, {_V} AS raw_url, 'GET' AS method, true AS inferred
-  FROM literals WHERE starts_with({_V}, '/') AND length({_V}) <= 200 AND {api_path(_V)}"""
-_SLASHES = f"(length({_V}) - length(replace({_V}, '/', '')))"
+  FROM literals WHERE starts_with({_V}, '/') AND {api_path(_V)}"""
 CONSTANTS_SQL = f"""SELECT site, base_url, asset_seq, url AS source, region_idx::BIGINT AS region_idx,
     start::BIGINT AS pos, {_V} AS route, key FROM literals
-  WHERE key <> '' AND contains({_V}, '/') AND NOT starts_with({_V}, '/') AND length({_V}) <= 200
+  WHERE key <> '' AND contains({_V}, '/') AND NOT starts_with({_V}, '/')
     AND {ROUTE.format(v=_V)} AND NOT regexp_matches({_V}, {rp(wr.MIME_LIKE)})
-    AND {_SLASHES} <= 4 AND NOT contains(regexp_extract({_V}, '([^/]*)$', 1), '.')
+    AND NOT contains(regexp_extract({_V}, '([^/]*)$', 1), '.')
     AND NOT contains(split_part({_V}, '/', 1), '.')
     AND NOT regexp_matches({_V}, '(?:^|/)[0-9]+(?:/|$)')"""
 _STATIC = "|".join(e[1:] for e in er.STATIC_EXTENSIONS)
@@ -440,7 +439,7 @@ RECORDED_SQL = f"""SELECT *, {kind_sql("url")} AS endpoint_kind, {scope("url", "
         THEN regexp_extract(source, '^[a-z]+://[^/?#]*') || '/wp-json' || raw_url
         ELSE regexp_extract(base_url, '^[a-z]+://[^/?#]*') || raw_url END END''')} AS url
   FROM ({CALLS_SQL} UNION ALL {MENTIONS_SQL} UNION ALL {LITERAL_PATHS_SQL})
-  WHERE raw_url <> '' AND length(raw_url) <= 400
+  WHERE raw_url <> ''
     AND NOT regexp_matches(raw_url, '^(data:|blob:|mailto:|tel:|javascript:|#)'))
 WHERE url IS NOT NULL AND url <> '' AND NOT {_static("url")}"""
 _OPTIONAL = "site, asset_seq, region_idx, pos, raw_url, method, inferred"
@@ -490,7 +489,7 @@ def _(c: Corpus):
 
 SPA_SQL = f"""SELECT site, base_url, asset_seq, url AS source, region_idx::BIGINT AS region_idx, start::BIGINT AS pos,
   {_resolve("base_url", "groups[1]")} AS url FROM {_CALL_HITS}
-  WHERE rule = 'ep_route' AND length(groups[1]) <= 160"""
+  WHERE rule = 'ep_route'"""
 
 
 @query("spa_routes", SCAN_TOKENS + f"SELECT site, asset_seq, region_idx, pos, url FROM ({SPA_SQL})")

@@ -27,7 +27,7 @@ _URLS = f"""SELECT * FROM (
     SELECT *, 0 AS phase FROM ({_urls_sql(er.ABSOLUTE_URL, 0)})
     UNION ALL SELECT *, 1 FROM ({_urls_sql(_PROTO, 1, "https://")})) u
   JOIN assets a ON a.site = u.site AND a.asset_seq = u.asset_seq)
-  WHERE url <> '' AND length(url) <= 500"""
+  WHERE url <> ''"""
 _ENDPOINTS = f"""urls0 AS ({_URLS}),
 recorded AS ({RECORDED_SQL}),
 mentions AS (

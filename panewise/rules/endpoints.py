@@ -21,7 +21,7 @@ API_PATH = (
     r"(?:/[\w\-.~%:@]+|/\$\{[^}]{1,60}\}|/:[\w]+|/\*)*+/?$"
 )
 GENERIC_API_PATH = (
-    r"(?i)^/[\w\-./]{2,120}/(?:list|create|update|delete|search|login|logout|register|signup"
+    r"(?i)^/[\w\-./]{2,}/(?:list|create|update|delete|search|login|logout|register|signup"
     r"|signin|token|refresh|profile|me|upload|download|export|import|status|health"
     r"|checkout|payment|order|orders|users?|customers?|products?|items?)"
     r"(?:/[\w\-.:${}]*)*+/?$"
@@ -29,16 +29,16 @@ GENERIC_API_PATH = (
 FETCH_CALL = (
     r"(?i)\b(?:fetch|axios|request|http|api|client|instance|\$\.ajax|superagent|ky|got)"
     r"\s*(?:\.\s*(get|post|put|patch|delete|head|options)\s*)?"
-    r"\(\s*[`\"']([^`\"']{1,400})[`\"']"
+    r"\(\s*[`\"']([^`\"']++)[`\"']"
 )
 METHOD_OPTION = (
     r"(?i)\b(?:method|type)\s*:\s*[\"'](GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)[\"']"
 )
 METHOD_URL = (
     r"(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+"
-    r"(https?://[^\s\"'`<>]{4,}|/[\w\-./]{2,120})"
+    r"(https?://[^\s\"'`<>]{4,}|/[\w\-./]{2,})"
 )
-ROUTE_DECLARATION = r"(?i)\bpath\s*:\s*[\"'](/[^\"']{0,160})[\"']"
+ROUTE_DECLARATION = r"(?i)\bpath\s*:\s*[\"'](/[^\"']*+)[\"']"
 EMAIL = r"\b[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,127}[A-Za-z]{2,24}\b"
 EMAIL_NOT = (".png", ".jpg", ".gif", ".js", ".css")
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b"
