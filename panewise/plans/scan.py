@@ -121,7 +121,7 @@ class Scan:
         if "technology" in on:
             builders |= {
                 "f_tech": tc.content_matches, "f_banners": tc.banner_matches,
-                "f_payload": tc.next_payload, "f_services": tc.service_matches,
+                "f_payload": tc.next_payloads, "f_services": tc.service_matches,
                 **{
                     f"f_wp_{kind}": (lambda p=pattern: tc.extension_matches(p))
                     for kind, pattern in tech_rules.WP_EXTENSIONS

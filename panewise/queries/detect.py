@@ -576,11 +576,14 @@ def _banner() -> str:
 
 
 TECH_SQL["tech_banners"] = _banner()
-_NEXT_PATTERN = r"<script[^>]+id=\"__NEXT_DATA__\"[^>]*>([\s\S]*?)</script>"
-_NEXT_ROWS = f"""(SELECT * FROM (SELECT *, regexp_extract(content, {rp(_NEXT_PATTERN)}, 1) AS j,
-    strpos(content, regexp_extract(content, {rp(_NEXT_PATTERN)}, 1)) - 1 AS at0 FROM assets
-    WHERE regexp_matches(content, {rp(_NEXT_PATTERN)})) WHERE json_valid(j) AND json_type(j) = 'OBJECT')"""
-TECH_SQL["next_build"] = f"""SELECT site, asset_seq, 7::BIGINT AS source_ord, 0::BIGINT AS pos, 'Next.js' AS name, '' AS version,
+_NEXT_PATTERN = r"(<script[^>]+id=\"__NEXT_DATA__\"[^>]*>)([\s\S]*?)(</script>)"
+_PAYLOADS = positions(
+    "(SELECT site, asset_seq, content FROM assets WHERE contains(content, '__NEXT_DATA__'))", "content", _NEXT_PATTERN,
+    r"\1|\2|\3", "length(f[1]) + length(f[2]) + length(f[3])", "site, asset_seq, content")
+_NEXT_ROWS = f"""(SELECT a.*, p.at0, p.j FROM assets a JOIN (
+    SELECT site, asset_seq, start + length(f[1]) AS at0, f[2] AS j FROM {_PAYLOADS}) p USING (site, asset_seq)
+  WHERE json_valid(j) AND json_type(j) = 'OBJECT')"""
+TECH_SQL["next_build"] = f"""SELECT site, asset_seq, 7::BIGINT AS source_ord, at0::BIGINT AS pos, 'Next.js' AS name, '' AS version,
   'framework' AS category, 'buildId ' || json_extract_string(j, '$.buildId') AS evidence, url FROM {_NEXT_ROWS}
   WHERE json_extract_string(j, '$.buildId') <> ''"""
 
@@ -607,16 +610,16 @@ def _(c: Corpus):
 
 
 _ENV_RX = rp(tr.ENV_KEY)
-ENV_SQL = f"""env_nodes(site, asset_seq, key, val, parent_env, depth) AS (
-  SELECT site, asset_seq, '', j::JSON, false, 0 FROM {_NEXT_ROWS}
+ENV_SQL = f"""env_nodes(site, asset_seq, at0, key, val, parent_env, depth) AS (
+  SELECT site, asset_seq, at0, '', j::JSON, false, 0 FROM {_NEXT_ROWS}
   UNION ALL
-  SELECT n.site, n.asset_seq, coalesce(k.key, ''), k.value, NOT regexp_matches(n.key, {_ENV_RX})
+  SELECT n.site, n.asset_seq, n.at0, coalesce(k.key, ''), k.value, NOT regexp_matches(n.key, {_ENV_RX})
       AND lower(n.key) IN {in_list(tr.ENV_OBJECTS)} AND json_type(n.val) = 'OBJECT', n.depth + 1
   FROM env_nodes n, json_each(n.val) AS k
-  WHERE n.depth <= 6 AND json_type(n.val) IN ('OBJECT', 'ARRAY')),
+  WHERE json_type(n.val) IN ('OBJECT', 'ARRAY')),
 env_keys AS (
-  SELECT site, asset_seq, key FROM env_nodes WHERE depth BETWEEN 1 AND 7 AND regexp_matches(key, {_ENV_RX})
-  UNION ALL SELECT site, asset_seq, key FROM env_nodes WHERE parent_env AND depth >= 2),
+  SELECT site, asset_seq, at0, key FROM env_nodes WHERE depth >= 1 AND regexp_matches(key, {_ENV_RX})
+  UNION ALL SELECT site, asset_seq, at0, key FROM env_nodes WHERE parent_env AND depth >= 2),
 """
 _RSCAN = SCAN_TOKENS.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -625,7 +628,7 @@ _RSCAN = SCAN_TOKENS.replace("WITH ", "WITH RECURSIVE ", 1)
        + " SELECT site, asset_seq, key, count(*) AS n FROM env_keys GROUP BY ALL")
 def _(c: Corpus):
     rows = tc._next_data(c.scan.assets)
-    keys = rows.select("site", "asset_seq", F.explode(tc.collect_env_keys(F.col("data"))).alias("key"))
+    keys = tc.collect_env_keys(rows, ("site", "asset_seq", "pos"))
     return keys.groupBy("site", "asset_seq", "key").agg(F.count("*").alias("n"))
 
 
@@ -635,14 +638,14 @@ _NEXT_FINDINGS = _finding(
         AND CAST(json_extract(j, '$.runtimeConfig.serverRuntimeConfig') AS VARCHAR) NOT IN ('{{}}', '[]', 'null', '""', '0', 'false'))""",
     0, EXPO, "'Next.js serverRuntimeConfig exposed to the browser'", "'HIGH'", "'CONFIRMED'",
     "CAST(json_extract(j, '$.runtimeConfig.serverRuntimeConfig') AS VARCHAR)",
-    "'The page''s data holds settings that only the server should see.'", _NEXT_SPOT, rule_ord="100", region="0", pos="0",
+    "'The page''s data holds settings that only the server should see.'", _NEXT_SPOT, rule_ord="100", region="0", pos="at0",
 ) + " UNION ALL " + _finding(
-    f"""(SELECT n.*, k.listing, k.total FROM {_NEXT_ROWS} n JOIN (SELECT site, asset_seq,
-        array_to_string(list_sort(list(key)), ', ') AS listing, count(*) AS total FROM env_keys GROUP BY 1, 2) k
-        USING (site, asset_seq))""",
+    f"""(SELECT n.*, k.listing, k.total FROM {_NEXT_ROWS} n JOIN (SELECT site, asset_seq, at0,
+        array_to_string(list_sort(list(key)), ', ') AS listing, count(*) AS total FROM env_keys GROUP BY site, asset_seq, at0) k
+        USING (site, asset_seq, at0))""",
     0, EXPO, "'Environment variables embedded in __NEXT_DATA__'", "'MEDIUM'", "'CONFIRMED'", "listing",
     "total || ' environment variable(s) are part of the page''s data, for every visitor to read.'",
-    _NEXT_SPOT, rule_ord="101", region="0", pos="0")
+    _NEXT_SPOT, rule_ord="101", region="0", pos="at0")
 FINDING_SQL["next_data"] = _NEXT_FINDINGS
 
 
