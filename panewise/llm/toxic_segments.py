@@ -6,13 +6,15 @@ the tokens' overall shares. Typical of toxic documents are tokens of log-odds of
 whose z, the signed root of the likelihood ratio of the two shares, is `MARKED` or more, and so high
 that not more than one of all tokens is expected to reach it by chance. A word carries the highest
 log-odds of its marked tokens, capped, and every other word a small cost. The scan then finds all
-segments of a text that are maximal and score SIGNIFICANT bits of evidence or more, in one pass:
-a running sum that starts anew when it falls to zero, closed at its highest point when it has
-fallen below that by more than it could gain back.
+segments of a text that are maximal (every shorter part of one scores less, and no longer segment
+is like that) and score SIGNIFICANT or more, in one pass: a list of candidates with the running sum
+before and after each, where a new one is joined to the nearest earlier one that began lower, as
+long as that one also ended lower. Of segments with equal scores both are found.
 
 Scores of segments are calibrated by extreme values: chance segments of a text of n words reach S
 with probability 1 - exp(-K n exp(-lambda S)), where lambda solves sum p exp(lambda s) = 1 over
-the words of clean documents. A text's evidence is minus the logarithm of that for its segments,
+the words of clean documents, and K is what makes the number of significant segments expected in
+clean documents the number found there. A text's evidence is minus the logarithm of that for its segments,
 added up; a logistic curve of the evidence, fitted on the labelled rows, is the score.
 
 At most about ROWS labelled rows of each label are used for fitting (a bound, spread by a hash of
@@ -36,29 +38,29 @@ from . import chars
 from .common import bounded, kept, texts
 
 ROWS = 15_000
-#: Mass of the prior, in documents; least z of a marked word; most marked words kept.
-PRIOR, MARKED, MOST = 20.0, 4.0, 20_000
+#: Mass of the prior, in documents; least z of a marked word.
+PRIOR, MARKED = 20.0, 4.0
 #: A marked token is in so many labelled toxic documents at least, however many there are.
 LEAST_DOCS = 3
 CAP, COST, SIGNIFICANT, LEAST_ODDS = 6.0, 0.05, 2.0, 3.0
-KARLIN = 0.1
 PREFIXES = (4, 5, 6)
 
 
 @dataclass
 class Model:
-    """Marked words (sorted hashes and scores), the scale of chance scores, and the logistic."""
+    """Marked words (sorted hashes and scores), scale and number of chance scores, and the logistic."""
 
     words: np.ndarray
     values: np.ndarray
     rate: float
+    karlin: float
     slope: float
     shift: float
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
         out = 0.0
         for _, _, score in segments:
-            expected = KARLIN * max(n, 1) * np.exp(-self.rate * score)
+            expected = self.karlin * max(n, 1) * np.exp(-self.rate * score)
             out += max(0.0, -np.log(max(-np.expm1(-expected), 1e-12)))
         return out
 
@@ -79,26 +81,25 @@ def words_of(cp: np.ndarray, starts: np.ndarray) -> tuple[list[tuple[np.ndarray,
 
 
 def segments(places: list[int], values: list[float]) -> list[tuple[int, int, float]]:
-    """(first word, last word, score) of the significant segments; places are the marked words."""
-    out = []
-    total = peak = 0.0
-    begin = last = at = -1
+    """(first word, last word, score) of the significant maximal segments; places are the marked words.
+
+    A candidate also holds the place in the list of the nearest earlier one that began at a lower sum.
+    Those between are never looked at again, so the work is linear."""
+    out: list[tuple[int, int, float, float, int]] = []
+    total, at = 0.0, -1
     for p, v in zip(places, values, strict=True):
-        fallen = total - COST * (p - at - 1)
-        if total > 0 and (fallen <= 0 or peak - fallen > peak / 2 + CAP):
-            if peak >= SIGNIFICANT:
-                out.append((begin, last, peak))
-            total = 0.0
-        if total <= 0 or fallen <= 0:
-            begin, total, peak = p, 0.0, 0.0
-            fallen = 0.0
-        total = fallen + v
-        if total >= peak:
-            peak, last = total, p
-        at = p
-    if peak >= SIGNIFICANT:
-        out.append((begin, last, peak))
-    return out
+        start, first, back = total - COST * (p - at - 1), p, len(out) - 1
+        total, at = start + v, p
+        while True:
+            while back >= 0 and out[back][2] >= start:
+                back = out[back][4]
+            if back < 0 or out[back][3] >= total:
+                break
+            first, _, start, _, earlier = out[back]
+            del out[back:]
+            back = earlier
+        out.append((first, p, start, total, back))
+    return [(a, b, r - s) for a, b, s, r, _ in out if r - s >= SIGNIFICANT]
 
 
 def found(batch: list[str | None], words: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, list]]:
@@ -132,7 +133,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     size = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = size.get(0, 0), size.get(1, 0)
     share = toxic / max(1, clean + toxic)
-    none = Model(np.empty(0, np.uint64), np.empty(0), 1.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    none = Model(np.empty(0, np.uint64), np.empty(0), 1.0, 1.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if not clean or not toxic:
         return none
 
@@ -165,7 +166,8 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     y, n = F.col("y").cast("double"), F.col("n").cast("double")
     gain = cell(y, n, toxic) + cell(n - y, n, clean) + cell(toxic - y, both - n, toxic) + cell(clean - n + y, both - n, clean)
     marked = seen.where(F.col("y") >= LEAST_DOCS).select("word", delta.alias("delta"), F.sqrt(F.greatest(2 * gain, F.lit(0.0))).alias("z"))
-    top = marked.where((F.col("z") >= least) & (F.col("delta") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(MOST).collect()
+    # every marked token is in LEAST_DOCS texts of the bounded sample, so these rows do not grow with the table
+    top = marked.where((F.col("z") >= least) & (F.col("delta") >= LEAST_ODDS)).select("word", "delta").collect()
     if not top:
         return none
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
@@ -191,7 +193,9 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
             low = rate
         else:
             high = rate
-    model = Model(words, values, max(low, 1e-3), 0.0, 0.0)
+    rate = max(low, 1e-3)
+    karlin = min(1.0, (len(chance) + 0.5) / max(total, 1) * np.exp(min(rate * SIGNIFICANT, 700)))
+    model = Model(words, values, rate, float(karlin), 0.0, 0.0)
     x = np.array([model.evidence([(0, 0, s) for s in r["scores"]], r["n"]) for r in got])
     y = np.array([float(r["label"]) for r in got])
     w = np.where(y > 0, 0.5 / toxic, 0.5 / clean) * len(y)
