@@ -5,9 +5,10 @@ novel: a run of 20 and more characters of [A-Za-z0-9+/_=-] with letters and digi
 word within 64 characters, whose marginal cost is high: the bytes zstandard needs for context and
 run, less the bytes for the context alone, are at least 0.7 of the run's length. Runs of more than
 512 are judged in equal pieces of at most that and reported whole if one is new. The compressor is
-primed with code identifiers and the words that most distinct texts of the table hold, never with
-text, and the context is the 256 characters before the run. What base spans cover is not reported
-again; what they leave of a run is judged, and reported in as many spans as it has parts.
+primed with code identifiers and the words that most distinct texts of the table hold (of words in
+about as many texts a part by hash, where not all fit), never with text, and the context is the 256
+characters before the run. What base spans cover is not reported again; what they leave of a run is
+judged, and reported in as many spans as it has parts.
 
 Positions are code points, ends exclusive. Texts are scanned whole. Cases: a null text counts as
 empty; null and repeated ids are kept as they are; an empty table gives no rows. Other columns are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chars
-from .common import lean, texts
+from .common import kept, lean, texts
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -43,6 +44,8 @@ LEAST_NOVEL, PIECE, NEAR, CONTEXT, NEW = 20, 512, 64, 256, 0.7
 #: over all documents, and the commonest, up to these bytes, stand before the identifiers.
 WORD = "(?<![A-Za-z0-9+/_=-])[a-z][a-z_-]{3,31}+(?![A-Za-z0-9+/_=-])"
 LEAST_TEXTS, DICTIONARY = 2, 100_000
+#: Classes of counts for each doubling, and parts of a class: at most some thousands of sums go to the driver.
+LEVELS, PARTS = 16, 4096
 IDENTIFIERS = (
     "import export default function return const class public private static void string number boolean null true false "
     "config settings environment process.env getenv os.environ username email address account client_id client_secret "
@@ -135,16 +138,32 @@ class Scanner:
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY) -> bytes:
-    """Identifiers and the words that most distinct texts hold, commonest last, most bytes of them."""
+    """Identifiers and the words that most distinct texts hold, commonest last, most bytes of them.
+    Sums per class of counts tell the driver where these end, and then it gets those words alone."""
     rows = docs.where("text is not null").select(F.expr("xxhash64(text)").alias("h"), F.expr("xxhash64(text, 31)").alias("g"), words("text"))
     held = rows.where("words <> ''").dropDuplicates(["h", "g"]).select(F.explode(F.split("words", " ")).alias("word"))
     common = held.groupBy("word").count().where(F.col("count") >= LEAST_TEXTS)
-    taken, size = [], 0
-    for r in common.orderBy(F.desc("count"), "word").limit(most // 5).collect():
-        if (size := size + len(r["word"]) + 1) > most:
-            break
-        taken.append(r["word"])
-    return "\n".join([*reversed(taken), IDENTIFIERS]).encode()
+    level = F.floor(F.log2("count") * LEVELS).cast("int")
+    part = F.pmod(F.xxhash64("word"), F.lit(PARTS)).cast("int")
+    common = kept(common.select("word", "count", level.alias("level"), part.alias("part")), "novelty-words")
+    whole, room = end_of(common, "level", most, upward=False)
+    # of the first class that does not fit, as many equal parts by a hash of the word as fit
+    some, _ = end_of(common.where(F.col("level") == whole - 1), "part", room, upward=True)
+    taken = common.where((F.col("level") >= whole) | ((F.col("level") == whole - 1) & (F.col("part") < some)))
+    found = sorted(taken.select("count", "word").collect(), key=lambda r: (-r["count"], r["word"]))
+    return "\n".join([*(r["word"] for r in reversed(found)), IDENTIFIERS]).encode()
+
+
+def end_of(common: DataFrame, key: str, most: int, upward: bool) -> tuple[int, int]:
+    """Words are taken key by key, from the lowest or from the highest, while they fit into the bytes:
+    the key where that ends (exclusive upward, else inclusive) and the bytes left."""
+    sums = common.groupBy(key).agg(F.sum(F.length("word") + 1).alias("bytes")).orderBy(key if upward else F.desc(key)).collect()
+    end = sums[0][key] if sums else 0
+    for r in sums:
+        if r["bytes"] > most:
+            return (r[key], most) if upward else (r[key] + 1, most)
+        end, most = r[key] + (1 if upward else 0), most - r["bytes"]
+    return end, most
 
 
 def words(column: str) -> Column:

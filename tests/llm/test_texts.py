@@ -161,6 +161,19 @@ def test_words_count_equal_texts_once(spark):
     assert novelty.dictionary(docs).decode().split("\n")[:-1] == ["other", "words"]
 
 
+def test_the_commonest_words_fill_the_dictionary(spark):
+    """Word w<k> is in so many texts as its class says; the bytes end within the class of two texts."""
+    name = lambda k: "w" + "".join(chr(97 + int(d)) for d in f"{k:05d}")
+    often = {name(k): 2 if k >= 40 else 100 - k for k in range(1000)}
+    docs = spark.createDataFrame(
+        [(i, " ".join(w for w, n in often.items() if i < n) + " " + "z" * (i + 1)) for i in range(100)], "doc_id long, text string"
+    )
+    got = novelty.dictionary(docs, 7 * 300).decode().split("\n")[:-1]
+    assert got[-40:] == sorted(often, key=often.get)[-40:] and 200 < len(got) <= 300 and len(set(got)) == len(got)
+    assert set(got) <= set(often) and len(novelty.dictionary(docs, 7 * 1000).decode().split("\n")) == 1001
+    assert novelty.dictionary(docs, 10).decode() == "\n".join([name(0), novelty.IDENTIFIERS])
+
+
 def test_redaction_of_odd_documents(spark, odd_documents, no_documents):
     rows = odd_documents.withColumn("text", F.when(F.col("doc_id") == 5, F.lit("a token=abcdefghijklmnopqr b 0123456789abcdef0 c")).otherwise(F.col("text")))
     got = novelty.redacted(rows, novelty.dictionary(rows))
