@@ -99,8 +99,8 @@ def gap_length(piece: Column) -> Column:
     return F.length(piece) - F.length(F.substring_index(piece, CLOSE, 1)) - 1
 
 
-def prefix_sums(sizes: Column, block: int = 64) -> Column:
-    """Exclusive running sums of an int array.
+def prefix_sums(sizes: Column, block: int = 64, of: str = "int") -> Column:
+    """Exclusive running sums of an array of ints (or of another type).
 
     Appending to one array is quadratic, so sums run inside blocks of 64 and over the
     block totals; a bundle with 100,000 tokens stays cheap.
@@ -109,7 +109,7 @@ def prefix_sums(sizes: Column, block: int = 64) -> Column:
     def scan(values: Column) -> Column:
         return F.aggregate(
             values,
-            F.array(F.lit(0)),
+            F.array(F.lit(0).cast(of) if of != "int" else F.lit(0)),
             lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)),
         )
 

@@ -20,7 +20,9 @@ from ..functions.text import (
 )
 from ..model import ASSET_KEYS
 from ..rules.vulns import Rule
-from .regions import assigned_name, code_region_array, literal_body, strip_comments, token_array
+from .regions import (
+    assigned_name, bracket_pairs, code_region_array, literal_body, strip_comments, token_array,
+)
 
 HIT_FIELDS = (
     "region_idx", "rule", "pos", "start", "stop", "text", "groups", "tail", "line", "col",
@@ -76,6 +78,38 @@ def rule_matches(code: Column, lowered: Column, rules: Sequence[Rule]) -> Column
     )
 
 
+def closed_matches(code: Column, lowered: Column, rules: Sequence[Rule]) -> Column:
+    """Raw hits of all rules; those of rules with a body reach to the bracket that closes theirs,
+    however long that is. Only texts with such a rule's beginning are searched for brackets."""
+    found, with_body = rule_matches(code, lowered, rules), [r for r in rules if r.body]
+    if not with_body:
+        return found
+    begun = F.lit(False)
+    for rule in with_body:
+        begun = begun | (_may_match(lowered, rule) & code.rlike(rx(rule.pattern)))
+
+    def opens(h: Column) -> Column:
+        return h["rule"].isin(*[r.id for r in with_body]) & F.right(h["text"], F.lit(1)).isin("[", "{")
+
+    def whole(h: Column, parts: Column, close: Column) -> Column:
+        first = F.slice(h["groups"], F.lit(1), F.size(h["groups"]) - 1)
+        body = text_at(parts, h["stop"] - 1, close + 2 - h["stop"])
+        text = text_at(parts, h["start"], close + 1 - h["start"])
+        return _raw_hit(h["rule"], h["start"], text, close + 1 - h["start"], F.concat(first, F.array(body)))
+
+    def reaching(g: Column) -> Column:
+        return F.transform(g["found"], lambda h: F.when(~opens(h), h).when(
+            F.map_contains_key(g["pairs"], h["stop"] - 1),
+            whole(h, g["parts"], F.try_element_at(g["pairs"], h["stop"] - 1)),
+        ))
+
+    given = F.struct(
+        found.alias("found"), F.when(begun, text_parts(code)).alias("parts"),
+        F.when(begun, bracket_pairs(code)).alias("pairs"),
+    )
+    return F.filter(let(given, reaching), lambda h: h.isNotNull())
+
+
 def _focus(h: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """Start and stop of the part of a match that its finding points at."""
     start, stop = h["start"], h["stop"]
@@ -174,7 +208,7 @@ def hit_array(
                 let(
                     strip_comments(code),
                     lambda sc: let(
-                        let(F.lower(sc), lambda lc: rule_matches(sc, lc, stripped_rules)),
+                        let(F.lower(sc), lambda lc: closed_matches(sc, lc, stripped_rules)),
                         lambda found: _with_tail(found, sc, tails),
                     ),
                 )

@@ -83,6 +83,53 @@ def token_pieces(code: Column) -> Column:
     return pieces_of(marked(code, TOKENS, ["$1", "$2"]))
 
 
+#: One number holds an offset and, in multiples of this, a depth.
+_DEPTH = 1 << 40
+
+
+def bracket_pairs(code: Column) -> Column:
+    """map<open, close>: the offsets of each bracket or brace outside literals and comments and of the
+    one of its kind that closes it. At one depth they open and close in turn, so sorting by depth
+    and offset puts each pair side by side."""
+
+    def kind(piece: Column) -> Column:
+        return F.substring_index(F.substring_index(piece, CLOSE, 1), FIELD, -1)
+
+    def sizes(ps: Column) -> Column:
+        # the marks are no part of the text, and the first piece has none
+        return F.transform(
+            ps,
+            lambda p, i: F.when(i == 0, F.length(p).cast("bigint")).otherwise(
+                F.length(p) - 2 + F.when(kind(p).isin("[", "{"), F.lit(_DEPTH))
+                .when(kind(p).isin("]", "}"), F.lit(-_DEPTH)).otherwise(F.lit(0))
+            ),
+        )
+
+    def levels(ps: Column, sums: Column) -> Column:
+        found = F.transform(
+            F.slice(ps, F.lit(2), F.greatest(F.size(ps) - 1, F.lit(0))),
+            lambda p, i: F.struct(
+                (F.floor((F.element_at(sums, i + 2) + F.lit(_DEPTH // 2)) / F.lit(_DEPTH))
+                 + F.when(kind(p).isin("[", "{"), F.lit(1)).otherwise(F.lit(0))).alias("level"),
+                F.pmod(F.element_at(sums, i + 2), F.lit(_DEPTH)).cast("int").alias("start"), kind(p).alias("kind"),
+            ),
+        )
+        return F.array_sort(F.filter(found, lambda b: b["kind"] != ""))
+
+    def paired(ls: Column) -> Column:
+        entries = F.transform(
+            ls,
+            lambda b, i: F.when(
+                (F.get(ls, i + 1)["level"] == b["level"]) & F.concat(b["kind"], F.get(ls, i + 1)["kind"]).isin("[]", "{}"),
+                F.struct(b["start"].alias("open"), F.get(ls, i + 1)["start"].alias("close")),
+            ),
+        )
+        return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
+
+    pieces = pieces_of(marked(code, TOKENS + r"|([\[\]{}])", ["$1$2", "$3"]))
+    return let(let(pieces, lambda ps: let(prefix_sums(sizes(ps), of="bigint"), lambda sums: levels(ps, sums))), paired)
+
+
 def _written(piece: Column) -> Column:
     """A piece as it stands in the source."""
     return F.replace(F.replace(piece, F.lit(FIELD), F.lit("")), F.lit(CLOSE), F.lit(""))

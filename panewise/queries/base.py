@@ -297,18 +297,37 @@ def snippet(content: str, start: str, stop: str) -> str:
     )
 
 
+def closed(source: str, found: str, pattern: str) -> str:
+    """Hits that end at an opening bracket, up to the one that closes it."""
+    keys = "site, asset_seq, region_idx"
+    heads = f"(SELECT * FROM {source} WHERE regexp_matches(code, {rp(pattern)}))"
+    brackets = positions(heads, "code", _TOKEN + r"|([\[\]{}])", r"\1\2|\3", "length(f[1]) + length(f[2])", keys)
+    pairs = f"""(SELECT {keys}, start AS opened, lead(start) OVER same AS closed, kind || lead(kind) OVER same AS kinds FROM (
+      SELECT {keys}, start, f[2] AS kind, sum(CASE WHEN f[2] IN ('[', '{{') THEN 1 ELSE -1 END)
+          OVER (PARTITION BY {keys} ORDER BY start) + CASE WHEN f[2] IN ('[', '{{') THEN 0 ELSE 1 END AS level
+      FROM {brackets} WHERE f[2] <> '') WINDOW same AS (PARTITION BY {keys}, level ORDER BY start))"""
+    ends = "right(h.text, 1) IN ('[', '{')"
+    return f"""SELECT rule, {", ".join("h." + c for c in _R.split(", "))}, start,
+      CASE WHEN {ends} THEN closed + 1 ELSE stop END AS stop,
+      CASE WHEN {ends} THEN substr(code, (start + 1)::BIGINT, (closed + 1 - start)::BIGINT) ELSE text END AS text,
+      CASE WHEN {ends} THEN [groups[1], substr(code, stop::BIGINT, (closed + 2 - stop)::BIGINT)] ELSE groups END AS groups, tail
+    FROM ({found}) h LEFT JOIN {pairs} p ON h.site = p.site AND h.asset_seq = p.asset_seq AND h.region_idx = p.region_idx
+      AND h.stop = p.opened + 1 AND kinds IN ('[]', '{{}}') WHERE NOT {ends} OR closed IS NOT NULL"""
+
+
 def hits(source: str, rules, patterns: dict[str, str] | None = None) -> str:
     """Rule hits of a code table; ``patterns`` restates rules RE2 cannot run."""
     parts = []
     for rule in rules:
         pattern = (patterns or {}).get(rule.id, rule.pattern)
         groups = "|".join(["\\0"] + [f"\\{g + 1}" for g in range(rule.groups)])
-        parts.append(
+        found = (
             f"SELECT {s(rule.id)} AS rule, {_R}, start, start + length(f[1]) AS stop, "
             f"f[1] AS text, f[2:] AS groups, "
             f"substr(code, (start + length(f[1]) + 1)::BIGINT, 240) AS tail FROM "
             + positions(source, "code", pattern, groups, "length(f[1])", _R)
         )
+        parts.append(closed(source, found, pattern) if rule.body else found)
     return "(" + " UNION ALL ".join(parts) + ")"
 
 

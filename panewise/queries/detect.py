@@ -226,7 +226,7 @@ _VOCABULARY = f"""(SELECT *, CASE rule WHEN 'acc_role' THEN start + length(group
     CASE WHEN rule = 'acc_catalogue' THEN stop
       WHEN rule = 'acc_role' THEN start + length(groups[1]) + length(groups[2]) + length(groups[3])
       ELSE start + 1 + length(groups[1]) END AS fstop FROM (
-  SELECT *, row_number() OVER (PARTITION BY site, asset_seq, seen ORDER BY region_idx, rule_ord, start) AS rn
+  SELECT *, row_number() OVER (PARTITION BY site, asset_seq, seen ORDER BY region_idx, rule_ord, stop) AS rn
   FROM (SELECT *, CASE WHEN rule = 'acc_catalogue'
           THEN array_to_string(list_sort(list_distinct(list_transform(items, lambda x: lower(x)))), '|')
           ELSE lower(single) END AS seen
@@ -272,7 +272,7 @@ for _name, _rule in (("role_assignments", 0), ("role_catalogues", 1), ("role_con
 
 def _first(source: str, key: str) -> str:
     return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, asset_seq, region_idx, {key} "
-            f"ORDER BY start) AS rn FROM {source}) WHERE rn = 1)")
+            f"ORDER BY stop) AS rn FROM {source}) WHERE rn = 1)")
 
 
 _CHECKS = _first(
@@ -643,7 +643,8 @@ _NEXT_FINDINGS = _finding(
     f"""(SELECT n.*, k.listing, k.total FROM {_NEXT_ROWS} n JOIN (SELECT site, asset_seq, at0,
         array_to_string(list_sort(list(key)), ', ') AS listing, count(*) AS total FROM env_keys GROUP BY site, asset_seq, at0) k
         USING (site, asset_seq, at0))""",
-    0, EXPO, "'Environment variables embedded in __NEXT_DATA__'", "'MEDIUM'", "'CONFIRMED'", "listing",
+    0, EXPO, "'Environment variables embedded in __NEXT_DATA__'", "'MEDIUM'", "'CONFIRMED'",
+    "n || ' ' || k || '(s)'",
     "total || ' environment variable(s) are part of the page''s data, for every visitor to read.'",
     _NEXT_SPOT, rule_ord="101", region="0", pos="at0")
 FINDING_SQL["next_data"] = _NEXT_FINDINGS
@@ -699,16 +700,21 @@ def _(c: Corpus):
     return show(tc.outdated_components(c.scan.technologies, main_documents(c.scan.assets)))
 
 
+_WORDPRESS = f"""SELECT site, split_part(category, '-', 2) AS k, regexp_replace(name, '^[^:]*: ', '') AS slug, version
+  FROM ({MERGED_SQL}) WHERE category IN ('wordpress-plugin', 'wordpress-theme')"""
+
+
+@query("wordpress_names", SCAN + f" SELECT site, k AS wp_kind, slug, version FROM ({_WORDPRESS})")
+def _(c: Corpus):
+    return tc.wordpress_names(c.scan.technologies)
+
+
 @finding_query("wordpress_summary", _finding(
     f"""(SELECT w.*, m.asset_seq, m.url, m.head FROM (
-      SELECT site, k, count(*) AS n, count(*) FILTER (WHERE version <> '') AS v,
-        array_to_string(list_transform(list_sort(list(struct_pack(s := slug, v := version))),
-          lambda e: e.s || CASE WHEN e.v <> '' THEN ' ' || e.v ELSE '' END), ', ') AS listing
-      FROM (SELECT site, split_part(category, '-', 2) AS k, regexp_replace(name, '^[^:]*: ', '') AS slug, version
-            FROM ({MERGED_SQL}) WHERE category IN ('wordpress-plugin', 'wordpress-theme')) GROUP BY 1, 2) w
+      SELECT site, k, count(*) AS n, count(*) FILTER (WHERE version <> '') AS v FROM ({_WORDPRESS}) GROUP BY 1, 2) w
       JOIN {_MAINS} m USING (site))""",
-    8, EXPO, "'WordPress ' || k || 's enumerated'", "CASE WHEN v > 0 THEN 'MEDIUM' ELSE 'LOW' END", "'CONFIRMED'", "listing",
-    "n || ' ' || k || '(s) show in the addresses of files' || CASE WHEN v > 0 THEN ', ' || v || ' with their "
+    8, EXPO, "'WordPress ' || k || 's enumerated'", "CASE WHEN v > 0 THEN 'MEDIUM' ELSE 'LOW' END", "'CONFIRMED'",
+    "n || ' ' || k || '(s)'", "n || ' ' || k || '(s) show in the addresses of files' || CASE WHEN v > 0 THEN ', ' || v || ' with their "
     "version' ELSE '' END || '. Old extensions are a common way into such sites.'", _AT,
     rule_ord="CASE WHEN k = 'plugin' THEN 50 ELSE 51 END", region="0", pos="0"), SCAN)
 def _(c: Corpus):

@@ -520,15 +520,16 @@ def _(c: Corpus):
 
 
 @query("looks_random", _TOKENS_SQL + f"""
-, ch AS (SELECT tok, c, count(*)::DOUBLE AS n FROM (
-    SELECT tok, unnest(string_split({_T}, '')) AS c FROM toks) WHERE c <> '' GROUP BY ALL),
-e AS (SELECT tok, -sum(n / length({_T}) * log2(n / length({_T}))) AS entropy FROM ch GROUP BY tok)
-SELECT tok, (length({_T}) >= 12
-  AND NOT regexp_matches({_T}, '\\p{{L}}{{2,}}\\s+\\p{{L}}{{2,}}\\s+\\p{{L}}{{2,}}')
-  AND NOT {HUMAN.format(v=_T)} AND NOT {ROUTE.format(v=_T)}
-  AND NOT (length({_T}) < 32 AND regexp_matches({_T}, '^\\p{{L}}+(?:[\\s_-]\\p{{L}}+)*$'))
-  AND {CLASSES.format(v=_T)} >= 2 AND coalesce(entropy, 0) >= 3.0) AS result
-FROM toks LEFT JOIN e USING (tok)""")
+, long AS (SELECT tok, t, CASE
+    WHEN length(t) < 12 OR {CLASSES.format(v="t")} < 2 THEN false
+    WHEN regexp_matches(t, '\\p{{L}}{{2,}}\\s+\\p{{L}}{{2,}}\\s+\\p{{L}}{{2,}}') THEN false
+    WHEN length(t) < 32 AND regexp_matches(t, '^\\p{{L}}+(?:[\\s_-]\\p{{L}}+)*$') THEN false
+    WHEN {ROUTE.format(v="t")} THEN false
+    ELSE NOT {HUMAN.format(v="t")} END AS likely FROM (SELECT tok, {_T} AS t FROM toks)),
+e AS (SELECT tok, -sum(n / length(t) * log2(n / length(t))) AS entropy FROM (
+    SELECT tok, t, c, count(*)::DOUBLE AS n FROM (
+      SELECT tok, t, unnest(string_split(t, '')) AS c FROM long WHERE likely) WHERE c <> '' GROUP BY ALL) GROUP BY tok)
+SELECT tok, likely AND coalesce(entropy, 0) >= 3.0 AS result FROM long LEFT JOIN e USING (tok)""")
 def _(c: Corpus):
     return _tokens(c).select("tok", pr.looks_random(F.col("tok")).alias("result"))
 
