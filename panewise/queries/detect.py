@@ -711,10 +711,13 @@ def _(c: Corpus):
 
 @finding_query("wordpress_summary", _finding(
     f"""(SELECT w.*, m.asset_seq, m.url, m.head FROM (
-      SELECT site, k, count(*) AS n, count(*) FILTER (WHERE version <> '') AS v FROM ({_WORDPRESS}) GROUP BY 1, 2) w
+      SELECT site, k, count(*) AS n, count(*) FILTER (WHERE version <> '') AS v,
+        array_to_string(list_transform(list_sort(list(struct_pack(s := slug, v := version)))[1:{tr.WP_SHOWN}],
+          lambda e: e.s || CASE WHEN e.v <> '' THEN ' ' || e.v ELSE '' END), ', ') AS listing
+      FROM ({_WORDPRESS}) GROUP BY 1, 2) w
       JOIN {_MAINS} m USING (site))""",
-    8, EXPO, "'WordPress ' || k || 's enumerated'", "CASE WHEN v > 0 THEN 'MEDIUM' ELSE 'LOW' END", "'CONFIRMED'",
-    "n || ' ' || k || '(s)'", "n || ' ' || k || '(s) show in the addresses of files' || CASE WHEN v > 0 THEN ', ' || v || ' with their "
+    8, EXPO, "'WordPress ' || k || 's enumerated'", "CASE WHEN v > 0 THEN 'MEDIUM' ELSE 'LOW' END", "'CONFIRMED'", "listing",
+    "n || ' ' || k || '(s) show in the addresses of files' || CASE WHEN v > 0 THEN ', ' || v || ' with their "
     "version' ELSE '' END || '. Old extensions are a common way into such sites.'", _AT,
     rule_ord="CASE WHEN k = 'plugin' THEN 50 ELSE 51 END", region="0", pos="0"), SCAN)
 def _(c: Corpus):
