@@ -59,6 +59,15 @@ def first_fetches(captures: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
+def each_capture(captures: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Each capture once, as it is numbered in its site: one that is delivered again is dropped,
+    another capture of the same URL is not."""
+    return (
+        captures.withWatermark("fetched_at", lateness)
+        .dropDuplicatesWithinWatermark(["site", "asset_seq"])
+    )
+
+
 @dataclass
 class SiteTables:
     """The folder of a streamed scan."""
@@ -145,8 +154,11 @@ class SiteTables:
 def stream_scan(
     captures: DataFrame, tables: SiteTables, checkpoint: str, lateness: str = "1 hour",
     on_batch: Callable[[SiteTables, int], None] | None = None,
+    once: Callable[[DataFrame, str], DataFrame] = first_fetches,
 ) -> StreamingQuery:
-    """Scan what has arrived, batch by batch, into the site tables."""
+    """Scan what has arrived, batch by batch, into the site tables. ``once`` says what counts as
+    seen: ``first_fetches`` for a crawl that meets a URL again, ``each_capture`` for a table of
+    captures of which each counts, as in one scan over it."""
     columns = [x.split()[0] for x in CAPTURE_SCHEMA.split(", ")]
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -161,6 +173,6 @@ def stream_scan(
             batch.unpersist()
 
     return (
-        first_fetches(captures, lateness).writeStream.foreachBatch(store)
+        once(captures, lateness).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

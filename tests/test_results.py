@@ -125,6 +125,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(tuple(r) for r in tables.technologies.collect()) == sorted(tuple(r) for r in scan.technologies.select(*tables.technologies.columns).collect())
 
 
+def test_stream_of_captures_scans_every_capture_of_a_url(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from panewise.streaming.scan import SiteTables, each_capture, read_capture_stream, stream_scan
+
+    rows = [_js("two.com", i, f"load('https://two.com/page/{i}')", "https://two.com/a.js") for i in range(2)]
+    arrived = _captures(spark, rows).withColumn("fetched_at", F.timestamp_seconds(F.col("asset_seq") + 1704067200))
+    for _ in range(2):  # delivered twice
+        arrived.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    tables = SiteTables(spark, str(tmp_path / "out"))
+    stream = read_capture_stream(spark, str(tmp_path / "in"), 1)
+    stream_scan(stream, tables, str(tmp_path / "ck"), once=each_capture).awaitTermination()
+    assert sorted(r.url for r in tables.urls.collect()) == ["https://two.com/page/0", "https://two.com/page/1"]
+
+
+def test_stream_query_equals_batch_where_a_url_is_captured_twice(spark, tmp_path):
+    from panewise.queries import Corpus
+
+    pages = [(i, "https://twice.example.org/p", f'<a href="https://twice.example.org/x/{i}">{i}</a>') for i in range(1, 4)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    texts = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    c = Corpus(spark, str(tmp_path))
+    batch, stream = (sorted(map(tuple, QUERIES[q](c).collect())) for q in ("dedupe_urls", "stream_urls"))
+    assert stream == batch and {f"https://twice.example.org/x/{i}" for i in range(1, 4)} <= {r[1] for r in batch}
+
+
 def test_own_detector(spark):
     from panewise.operators import rule_join as rj
     from panewise.operators.findings import tags_of, to_findings
