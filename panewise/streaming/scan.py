@@ -24,7 +24,7 @@ from ..operators import results as rs
 from ..operators import technologies as tc
 from ..operators.findings import main_documents
 from ..plans.scan import DETECTORS, Scan, site_findings
-from ..sources.assets import CAPTURE_SCHEMA, is_admitted
+from ..sources.assets import CAPTURE_SCHEMA, ROWS_PER_FILE, is_admitted
 
 #: name -> (what a batch adds, how mentions are distilled)
 State = tuple[Callable[[Scan], DataFrame], Callable[[DataFrame], DataFrame]]
@@ -104,16 +104,27 @@ class SiteTables:
         for v in earlier[:-1]:
             self._files().delete(self._path(name, f"version={v}"), True)
 
+    def arrived(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """A batch's captures as files, read in the tables' own session. That of a stateful stream plans
+        without AQE: there every later shuffle has as many tasks as the state, and each task sends the
+        driver the metrics of its stage's whole plan."""
+        path = f"{self.folder}/work/batch={batch_id}/captures"
+        batch.write.mode("overwrite").options(maxRecordsPerFile=ROWS_PER_FILE, compression="zstd").parquet(path)
+        return self.spark.read.schema(batch.schema).parquet(path)
+
+    def forget(self, batch_id: int) -> None:
+        """Drop what was written only to work on a batch."""
+        self._files().delete(self._path("work", f"batch={batch_id}"), True)
+
     def add(self, captures: DataFrame, batch_id: int) -> None:
         """Scan a batch and merge it. Everything of a batch is written under its number, so a batch
         that is tried again replaces what it wrote."""
-        work = f"work/batch={batch_id}"
-        scan = Scan(captures, self.detectors, self.options, f"{self.folder}/{work}")
+        scan = Scan(captures, self.detectors, self.options, f"{self.folder}/work/batch={batch_id}")
         scan.page_findings.write.mode("overwrite").parquet(f"{self.folder}/findings/batch={batch_id}")
         for name in STATE:
             if NEEDS.get(name) is None or NEEDS[name] in self.detectors:
                 self.merge(name, scan, batch_id)
-        self._files().delete(self._path(work), True)
+        self.forget(batch_id)
 
     def state(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}/version={self.versions(name)[-1]}")
@@ -162,15 +173,13 @@ def stream_scan(
     columns = [x.split()[0] for x in CAPTURE_SCHEMA.split(", ")]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*columns).persist()
-        try:
-            if batch.isEmpty():  # one that only moves the watermark on
-                return
-            tables.add(batch, batch_id)
-            if on_batch is not None:
-                on_batch(tables, batch_id)
-        finally:
-            batch.unpersist()
+        rows = tables.arrived(batch.select(*columns), batch_id)
+        if rows.isEmpty():  # one that only moves the watermark on
+            tables.forget(batch_id)
+            return
+        tables.add(rows, batch_id)
+        if on_batch is not None:
+            on_batch(tables, batch_id)
 
     return (
         once(captures, lateness).writeStream.foreachBatch(store)

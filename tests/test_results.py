@@ -152,6 +152,26 @@ def test_stream_query_equals_batch_where_a_url_is_captured_twice(spark, tmp_path
     assert stream == batch and {f"https://twice.example.org/x/{i}" for i in range(1, 4)} <= {r[1] for r in batch}
 
 
+def test_batches_are_scanned_with_aqe(spark, tmp_path):
+    """The session of a stateful stream has none: there each shuffle keeps all of its partitions."""
+    from pyspark.sql import functions as F
+
+    from panewise.streaming.scan import SiteTables, read_capture_stream, stream_scan
+
+    class Noted(SiteTables):
+        def add(self, captures, batch_id):
+            seen.append(captures.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+            rows.extend(captures.select("url").collect())
+
+    seen, rows = [], []
+    arrived = _captures(spark, [_js("aqe.com", i, "debug: true", f"https://aqe.com/{i}.js") for i in range(3)])
+    arrived = arrived.withColumn("fetched_at", F.timestamp_seconds(F.col("asset_seq") + 1704067200))
+    arrived.coalesce(1).write.parquet(str(tmp_path / "in"))
+    tables = Noted(spark, str(tmp_path / "out"))
+    stream_scan(read_capture_stream(spark, str(tmp_path / "in")), tables, str(tmp_path / "ck")).awaitTermination()
+    assert seen == ["true"] and sorted(r.url for r in rows) == [f"https://aqe.com/{i}.js" for i in range(3)]
+
+
 def test_own_detector(spark):
     from panewise.operators import rule_join as rj
     from panewise.operators.findings import tags_of, to_findings
