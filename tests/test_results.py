@@ -172,6 +172,25 @@ def test_batches_are_scanned_with_aqe(spark, tmp_path):
     assert seen == ["true"] and sorted(r.url for r in rows) == [f"https://aqe.com/{i}.js" for i in range(3)]
 
 
+def test_a_stream_query_runs_the_detectors_of_its_table(spark, tmp_path):
+    from panewise.plans.scan import DETECTORS
+    from panewise.queries import Corpus
+
+    pages = [(i, f"https://few.example.org/{i}", '<script src="https://js.stripe.com/v3/"></script>') for i in range(4)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    texts = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    c = Corpus(spark, str(tmp_path))
+    batch, stream = (sorted(map(tuple, QUERIES[q](c).collect())) for q in ("dedupe_services", "stream_services"))
+    assert stream == batch and batch
+    [(ran, tables)] = c.streamed.items()
+    assert ran == ("technology",) and tables.versions("services") and not tables.versions("endpoints")
+    QUERIES["stream_scan"](c)
+    assert set(c.streamed) == {("technology",), DETECTORS}
+    QUERIES["stream_endpoints"](c)  # the whole stream serves it
+    assert set(c.streamed) == {("technology",), DETECTORS}
+
+
 def test_own_detector(spark):
     from panewise.operators import rule_join as rj
     from panewise.operators.findings import tags_of, to_findings
