@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panewise.queries import Corpus
+from panewise.queries import QUERIES, Corpus
 from panewise.queries.base import ROWS_PER_FILE
 from panewise.sources.corpus import captures
 
@@ -19,6 +19,14 @@ def test_bodies_are_not_shuffled(spark, tmp_path):
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
+def test_manifest_candidates_run_no_other_detector(spark, tmp_path):
+    c = Corpus(spark, _tables(spark, tmp_path, 10))
+    rows = sorted(map(tuple, QUERIES["manifest_candidates"](c).collect()))
+    assert "facts" not in c.scan.__dict__ and "f_hits" not in c.scan_of("technology").facts.columns
+    assert c.scan.facts and c.scan_of("technology") is c.scan  # the whole pass serves it, once it is done
+    assert sorted(map(tuple, QUERIES["manifest_candidates"](c).collect())) == rows
+
+
 def test_one_row_group_becomes_files_of_few_rows(spark, tmp_path):
     written = Corpus(spark, _tables(spark, tmp_path, 3 * ROWS_PER_FILE + 1)).captures
     assert len(written.inputFiles()) >= 4
