@@ -48,13 +48,27 @@ def grams_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{" + str(Q) + "}))"), F.lit(1)))
 
 
-def gram_rows(texts: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """(*keys, gram): the q-grams of each text, some of them repeated, and the empty one. Rows come
-    from parts of the text, so no array is as long as a text."""
+def gram_shape(known: DataFrame) -> DataFrame:
+    """One row, ``shape``: a pattern of the texts that hold a known gram's characters place by place.
+    Most grams of prose do not fit it and are never cut out."""
+    def one_of(place: int) -> Column:
+        chars = F.array_sort(F.collect_set(F.substring("gram", place, 1)))
+        codes = F.transform(chars, lambda c: F.concat(F.lit("\\x{"), F.hex(F.ascii(c)), F.lit("}")))
+        return F.concat(F.lit("["), F.array_join(codes, ""), F.lit("]"))
+
+    whole = F.concat(F.lit("(?=("), *[one_of(place) for place in range(1, Q + 1)], F.lit("))"))
+    grams = known.where(F.length("gram") == Q)
+    return grams.agg(F.when(F.count("*") > 0, whole).otherwise(F.lit("(?!)()")).alias("shape"))
+
+
+def gram_rows(texts: DataFrame, keys: Sequence[str], text: Column, known: DataFrame) -> DataFrame:
+    """(*keys, gram): the q-grams of each text that may be known, some of them repeated, and the empty
+    one. Rows come from parts of the text, so no array is as long as a text."""
     overlap = "(?s)(?=(.{1," + str(PART + Q - 1) + "})).{1," + str(PART) + "}"
     parts = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(overlap), F.lit(1)))
-    rows = texts.select(*keys, F.explode(parts).alias("part"))
-    return rows.select(*keys, F.explode(F.when(F.col("part") == "", F.array(F.lit(""))).otherwise(grams_of(F.col("part")))).alias("gram"))
+    rows = texts.select(*keys, F.explode(parts).alias("part")).crossJoin(F.broadcast(gram_shape(known)))
+    grams = F.array_distinct(F.regexp_extract_all("part", F.col("shape"), F.lit(1)))
+    return rows.select(*keys, F.explode(F.when(F.col("part") == "", F.array(F.lit(""))).otherwise(grams)).alias("gram"))
 
 
 def _fragments(rules: DataFrame) -> DataFrame:
@@ -77,8 +91,8 @@ def candidates(texts: DataFrame, rules: DataFrame, keys: Sequence[str], text: st
     rule that matches is missing; hints and needs hold in each of them."""
     spark = texts.sparkSession
     fragments = written(_fragments(rules), work_folder(spark, "rule-fragments"))
-    known = _small(fragments.select("gram").distinct())
-    present = gram_rows(texts, keys, F.lower(F.col(text))).join(known, "gram", "left_semi").distinct()
+    known = fragments.select("gram").distinct()
+    present = gram_rows(texts, keys, F.lower(F.col(text)), known).join(_small(known), "gram", "left_semi").distinct()
     present = written(present, work_folder(spark, "rule-grams"))
 
     counts = present.groupBy("gram").count()

@@ -59,6 +59,17 @@ def test_candidates_are_few(spark, texts):
     assert {r.id: sorted(x.rule for x in r.rules) for r in found.collect()} == {102: ["r17"], 103: ["r12"]}
 
 
+def test_only_grams_of_a_known_shape_are_cut_out(spark):
+    odd = "a]b^c-d\\[&&e\U0001f600\u0131f\nok"
+    rows = spark.createDataFrame([(1, "plain prose of many words " + odd), (2, odd[3:]), (3, "")], "id long, code string")
+    wanted = ["]b^c", "-d\\[", "&&e\U0001f600", "\u0131f\no"]
+    known = spark.createDataFrame([(g,) for g in [*wanted, ""]], "gram string")
+    got = {(r.id, r.gram) for r in rj.gram_rows(rows, ["id"], rows.code, known).collect()}
+    assert {g for i, g in got if i == 1} == {"", *wanted} and {g for i, g in got if i == 2} == {"", *wanted[1:]}
+    none = rj.gram_rows(rows, ["id"], rows.code, known.where("gram = ''"))
+    assert {(r.id, r.gram) for r in none.collect()} == {(i, "") for i in (1, 2, 3)}
+
+
 def test_empty_tables_and_repeats(spark, texts):
     rules = catalogue(spark, 5)
     assert rj.rule_hits(texts.limit(0), rules, ("id",)).count() == 0
